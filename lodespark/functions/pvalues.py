@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 # Largest sample for which the signed-rank distribution is counted out.
 EXACT_WILCOXON_N = 50
@@ -42,12 +43,12 @@ def signed_rank_normal(w: float, n: int, tie_term: float) -> float:
     return math.erfc(abs(w - n * (n + 1) / 4) / math.sqrt(2 * var)) if var > 0 else math.nan
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_pvalue(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([student_t_two_sided(float(a), float(b)) for a, b in zip(t, df)])
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def signed_rank_pvalue(w: pd.Series, n: pd.Series, n_zero: pd.Series, tie_term: pd.Series) -> pd.Series:
     def one(w: float, n: float, zeros: float, ties: float) -> float:
         if not n > 0 or math.isnan(w):

@@ -212,15 +212,18 @@ def cross_validate(
     key: str = "formula",
     tune: bool = False,
     grids: dict[str, dict] | None = None,
+    settings: dict[str, dict] | None = None,
     shuffle: bool = True,
     parallelism: int = PARALLEL_FITS,
 ) -> DataFrame:
     """The four metrics of every model on every held-out fold of every seed: (seed, model, fold, ...).
 
-    With ``tune`` the settings are searched inside each training set. Untuned linear models share one pass.
+    ``settings`` replaces a model's untuned settings; with ``tune`` they are searched inside each training set.
+    Untuned linear models share one pass.
     """
     specs = {m: model_spec(m) for m in keys}
     seeds = [0] if seeds is None else seeds
+    given = settings or {}
     base = df.select(key, *features, target)
     if shuffle:
         folds = repeated_kfold(base, k, seeds, key)
@@ -233,7 +236,7 @@ def cross_validate(
         def run() -> list[tuple]:
             mine = folds.where(F.col("seed") == seed)
             train, valid = mine.where(F.col("fold") != fold), mine.where(F.col("fold") == fold)
-            params = None
+            params = given.get(m)
             if tune and specs[m].grid:
                 params, _ = grid_search(m, train, features, target, key, grid=(grids or {}).get(m), seed=seed)
             model = fit_model(m, train, features, target, params, seed)
@@ -242,7 +245,7 @@ def cross_validate(
 
         return run
 
-    shared = [m for m in keys if m in LINEAR_FAMILY and not (tune and specs[m].grid)]
+    shared = [m for m in keys if m in LINEAR_FAMILY and m not in given and not (tune and specs[m].grid)]
     jobs = [job(m, s, f) for m in keys if m not in shared for s in seeds for f in range(1, k + 1)]
     frames = []
     if jobs:

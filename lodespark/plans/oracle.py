@@ -126,7 +126,7 @@ def sql(body: str, needs: list[str], extra: list[str] | None = None, digits: lis
         add(name)
     ctes = [_CTES[n] for n in order] + (extra or [])
     if digits:
-        rounded = ", ".join(f"round({d}, 6) + 0.0 as {d}" for d in digits)
+        rounded = ", ".join(f"round({d} + 1e-9, 6) + 0.0 as {d}" for d in digits)
         body = f"select * replace ({rounded}) from ({body})"
     text = f"with {', '.join(ctes)} {body}" if ctes else body
     return re.sub(r"\s+", " ", text).strip()

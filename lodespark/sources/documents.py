@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,13 +119,10 @@ def unwrap(node: Column) -> Column:
 
 def merge_sections(*sections: Column) -> Column:
     """Union of maps in which a later map wins on equal keys, even when its value is null."""
-    merged = sections[0]
-    for later in sections[1:]:
-        earlier = merged
-        merged = F.map_concat(
-            F.map_filter(earlier, lambda k, v, later=later: ~F.map_contains_key(later, k)), later
-        )
-    return merged
+    def laid_over(earlier: Column, later: Column) -> Column:
+        return F.map_concat(F.map_filter(earlier, lambda k, v: ~F.map_contains_key(later, k)), later)
+
+    return reduce(laid_over, sections)
 
 
 def flatten_documents(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
