@@ -1,113 +1,107 @@
-"""Chemical formulas as column expressions; everything stays on the JVM.
+"""Chemical formulas as Spark SQL expressions; everything stays on the JVM.
 
-A composition is ``array<struct<el string, n double>>`` with distinct elements in order of first appearance.
-Null stands for a formula that is null or not well formed.
+The builders take and return SQL text, so that a whole expression reaches the session as one string and is analysed
+once. A composition is ``array<struct<el string, n double>>`` with distinct elements in order of first appearance;
+null stands for a formula that is null or not well formed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PARTS_TYPE = "array<struct<el:string,n:double>>"
-ELEMENT = "([A-Z][a-z]*)"
-AMOUNT = r"([0-9.]*)"
-FLAT_FORMULA = r"^([A-Z][a-z]*([0-9]+(\.[0-9]*)?|\.[0-9]+)?)+$"
-TOKEN = r"[(\[{]|[)\]}][0-9.]*|[A-Z][a-z]*[0-9.]*"
+STATE_TYPE = f"struct<stack:array<double>,parts:{PARTS_TYPE},ok:boolean>"
+ELEMENT = "[A-Z][a-z]*"
+FLAT_FORMULA = "^([A-Z][a-z]*([0-9]+([.][0-9]*)?|[.][0-9]+)?)+$"
+TOKEN = "[(\\[{]|[)\\]}][0-9.]*|[A-Z][a-z]*[0-9.]*"
+OPENING, CLOSING = "^[(\\[{]", "^[)\\]}]"
 # Amounts at or below this are dropped, so that Co0 leaves no cobalt behind.
 ZERO_AMOUNT = 1e-8
 
 
-def _entry(el: Column, n: Column) -> Column:
-    return F.struct(el.alias("el"), n.cast("double").alias("n"))
+def text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _amount(text: Column) -> Column:
+def texts(values: list[str]) -> str:
+    """A SQL array of string literals."""
+    return "array(" + ", ".join(text(v) for v in values) + ")"
+
+
+def let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, which is evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _entry(el: str, n: str) -> str:
+    return f"named_struct('el', {el}, 'n', {n})"
+
+
+def _amount(written: str) -> str:
     """Amount written after a symbol or bracket; nothing written means one."""
-    return F.when(text == "", F.lit(1.0)).otherwise(text.try_cast("double"))
+    return f"if({written} = '', 1D, try_cast({written} as double))"
 
 
-def _flat_parts(formula: Column) -> Column:
-    symbols = F.regexp_extract_all(formula, F.lit(ELEMENT + AMOUNT), F.lit(1))
-    amounts = F.regexp_extract_all(formula, F.lit(ELEMENT + AMOUNT), F.lit(2))
-    return F.zip_with(symbols, amounts, lambda s, a: _entry(s, _amount(a)))
+def _flat_parts(formula: str) -> str:
+    found = lambda group: f"regexp_extract_all({formula}, '({ELEMENT})([0-9.]*)', {group})"
+    return f"zip_with({found(1)}, {found(2)}, (s, a) -> {_entry('s', _amount('a'))})"
 
 
-def _bracketed_parts(formula: Column) -> Column:
+def _bracketed_parts(formula: str) -> str:
     """Parts of a bracketed formula, read right to left with a stack of multipliers.
 
-    A closing bracket pushes the multiplier in force inside it, an opening bracket pops it; an unbalanced
-    formula or leftover text gives null.
+    A closing bracket pushes the multiplier in force inside it, an opening bracket pops it; an unbalanced formula
+    or leftover text gives null.
     """
-    tokens = F.regexp_extract_all(formula, F.lit("(" + TOKEN + ")"), F.lit(1))
-    state = "struct<stack:array<double>,parts:%s,ok:boolean>" % PARTS_TYPE
-    start = F.struct(
-        F.array(F.lit(1.0)).alias("stack"),
-        F.array().cast(PARTS_TYPE).alias("parts"),
-        (F.array_join(tokens, "") == formula).alias("ok"),
-    ).cast(state)
-
-    def step(acc: Column, token: Column) -> Column:
-        top = F.get(acc["stack"], F.lit(0))
-        number = _amount(F.regexp_extract(token, "([0-9.]*)$", 1))
-        return (
-            F.when(
-                token.rlike(r"^[)\]}]"),
-                F.struct(F.array_prepend(acc["stack"], top * number).alias("stack"), acc["parts"], acc["ok"]),
-            )
-            .when(
-                token.rlike(r"^[(\[{]"),
-                F.struct(
-                    F.slice(acc["stack"], 2, F.greatest(F.size(acc["stack"]) - 1, F.lit(0))).alias("stack"),
-                    acc["parts"],
-                    (acc["ok"] & (F.size(acc["stack"]) > 1)).alias("ok"),
-                ),
-            )
-            .otherwise(
-                F.struct(
-                    acc["stack"],
-                    F.array_prepend(
-                        acc["parts"], _entry(F.regexp_extract(token, "^([A-Za-z]+)", 1), top * number)
-                    ).alias("parts"),
-                    acc["ok"],
-                )
-            )
-            .cast(state)
-        )
-
-    end = F.aggregate(F.reverse(tokens), start, step)
-    return F.when(end["ok"] & (F.size(end["stack"]) == 1), end["parts"])
-
-
-def parse_parts(formula: Column) -> Column:
+    number = let("w", "regexp_extract(token, '([0-9.]*)$', 1)", _amount("w"))
+    step = f"""cast(case
+        when token rlike {text(CLOSING)} then
+            struct(array_prepend(acc.stack, get(acc.stack, 0) * {number}) as stack, acc.parts as parts, acc.ok as ok)
+        when token rlike {text(OPENING)} then
+            struct(slice(acc.stack, 2, size(acc.stack)) as stack, acc.parts as parts,
+                   acc.ok and size(acc.stack) > 1 as ok)
+        else
+            struct(acc.stack as stack,
+                   array_prepend(acc.parts, {_entry(f"regexp_extract(token, '^({ELEMENT})', 1)", f"get(acc.stack, 0) * {number}")})
+                       as parts,
+                   acc.ok as ok)
+        end as {STATE_TYPE})"""
+    start = f"cast(struct(array(1D) as stack, cast(array() as {PARTS_TYPE}) as parts, array_join(ts, '') = {formula} as ok) as {STATE_TYPE})"
+    done = "if(acc.ok and size(acc.stack) = 1, acc.parts, null)"
+    read = f"aggregate(reverse(ts), {start}, (acc, token) -> {step}, acc -> {done})"
+    return let("ts", f"regexp_extract_all({formula}, {text('(' + TOKEN + ')')}, 1)", read)
+
+
+def parse_parts(formula: str) -> str:
     """Composition of a formula: repeats summed, no amount means one, vanishing amounts dropped.
 
     Plain formulas take the short path; only formulas with brackets are read with the stack.
     """
-    text = F.translate(formula, " ", "")
-    raw = F.when(text.rlike(FLAT_FORMULA), _flat_parts(text)).when(
-        text.rlike(r"[(\[{]"), _bracketed_parts(text)
+    raw = f"""case when t rlike {text(FLAT_FORMULA)} then {_flat_parts('t')}
+                   when t rlike {text('[(\\[{]')} then {_bracketed_parts('t')} end"""
+    total = "aggregate(filter(r, p -> p.el = s), 0D, (sum, p) -> sum + p.n)"
+    merged = let(
+        "symbols",
+        "array_distinct(transform(r, p -> p.el))",
+        f"if(size(symbols) = size(r), r, transform(symbols, s -> {_entry('s', total)}))",
     )
-    raw = F.when(~F.exists(raw, lambda p: p["n"].isNull()), raw)
-    symbols = F.array_distinct(F.transform(raw, lambda p: p["el"]))
-    total = lambda s: F.aggregate(
-        F.filter(raw, lambda p: p["el"] == s), F.lit(0.0), lambda acc, p: acc + p["n"]
-    )
-    summed = F.when(F.size(symbols) == F.size(raw), raw).otherwise(F.transform(symbols, lambda s: _entry(s, total(s))))
-    return F.filter(summed, lambda p: F.abs(p["n"]) > ZERO_AMOUNT)
+    whole = f"if(r is null or exists(r, p -> p.n is null), null, filter({merged}, p -> abs(p.n) > {ZERO_AMOUNT}D))"
+    return let("t", f"translate({formula}, ' ', '')", let("r", raw, whole))
 
 
-def parts_map(parts: Column) -> Column:
+def parts_map(parts: str) -> str:
     """The composition as ``map<string, double>``."""
-    return F.map_from_entries(parts)
+    return f"map_from_entries({parts})"
 
 
-def radix(parts: Column) -> Column:
+def radix(parts: str) -> str:
     """Number of distinct elements; null for a formula that cannot be read."""
-    return F.when(parts.isNotNull(), F.size(parts))
+    return f"if({parts} is null, null, size({parts}))"
 
 
-def stoichiometry(parts: Column, symbols: list[str], amounts: str = "int") -> Column:
+def stoichiometry(parts: str, symbols: list[str], amounts: str = "int") -> str:
     """Non-zero amounts of the known elements.
 
     ``amounts='int'`` truncates amounts to whole numbers before anything else is derived from them (so
@@ -115,18 +109,17 @@ def stoichiometry(parts: Column, symbols: list[str], amounts: str = "int") -> Co
     """
     if amounts not in ("int", "exact"):
         raise ValueError("amounts must be 'int' or 'exact'")
-    known = F.filter(parts, lambda p: F.array_contains(F.lit(symbols), p["el"]))
+    known = f"filter({parts}, p -> array_contains({texts(symbols)}, p.el))"
     if amounts == "int":
-        known = F.transform(known, lambda p: _entry(p["el"], p["n"].cast("bigint")))
-    return F.filter(known, lambda p: p["n"] != 0)
+        known = f"transform({known}, p -> {_entry('p.el', 'cast(cast(p.n as bigint) as double)')})"
+    return f"filter({known}, p -> p.n <> 0)"
 
 
-def fractions(stoich: Column) -> Column:
+def fractions(stoich: str) -> str:
     """Atomic fractions ``n / sum(n)``; empty when there is nothing to divide."""
-    total = F.aggregate(stoich, F.lit(0.0), lambda acc, p: acc + p["n"])
-    return F.when(total == 0, F.array().cast(PARTS_TYPE)).otherwise(
-        F.transform(stoich, lambda p: _entry(p["el"], p["n"] / total))
-    )
+    shares = f"transform(st, p -> {_entry('p.el', 'p.n / total')})"
+    body = let("total", "aggregate(st, 0D, (sum, p) -> sum + p.n)", f"if(total = 0, cast(array() as {PARTS_TYPE}), {shares})")
+    return let("st", stoich, body)
 
 
 def with_parts(df: DataFrame, formula: str = "formula", out: str = "parts") -> DataFrame:
@@ -135,19 +128,19 @@ def with_parts(df: DataFrame, formula: str = "formula", out: str = "parts") -> D
     The array goes through ``explode`` of a one-element array: a generator stops the optimizer from folding the
     parser into every later reference, so each formula is parsed once.
     """
-    return df.withColumn(out, F.explode(F.array(parse_parts(F.col(formula)))))
+    return df.select("*", F.expr(f"explode(array({parse_parts(formula)})) as {out}"))
 
 
-def contains_element(formula: Column, symbol: str) -> Column:
+def contains_element(formula: str, symbol: str) -> str:
     """Substring test used to group formulas by element."""
-    return F.contains(formula, F.lit(symbol))
+    return f"contains({formula}, {text(symbol)})"
 
 
-def symbol_tokens(formula: Column) -> Column:
+def symbol_tokens(formula: str) -> str:
     """Element symbols as written, repeats kept; needs no well-formed formula."""
-    return F.regexp_extract_all(formula, F.lit(ELEMENT), F.lit(1))
+    return f"regexp_extract_all({formula}, '({ELEMENT})', 1)"
 
 
-def mentions_any(formula: Column, symbols: list[str]) -> Column:
+def mentions_any(formula: str, symbols: list[str]) -> str:
     """Whether a formula mentions one of the elements."""
-    return F.arrays_overlap(symbol_tokens(formula), F.lit(symbols))
+    return f"arrays_overlap({symbol_tokens(formula)}, {texts(symbols)})"

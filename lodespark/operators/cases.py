@@ -67,9 +67,9 @@ def series_features(elements: DataFrame, pairs: DataFrame, systems: list[str]) -
     spark = elements.sparkSession
     formulas = series_formulas(spark, systems)
     symbols = known_symbols(elements)
-    fracs = fx.fractions(fx.stoichiometry(fx.parse_parts(F.col("formula")), symbols))
-    minor = F.create_map(*[F.lit(v) for item in MINOR.items() for v in item])
-    x = F.element_at(fx.parts_map(fracs), F.element_at(minor, F.col("system")))
+    fracs = fx.fractions(fx.stoichiometry(fx.parse_parts("formula"), symbols))
+    minor = "map(" + ", ".join(f"{fx.text(s)}, {fx.text(e)}" for s, e in MINOR.items()) + ")"
+    x = F.expr(f"element_at({fx.parts_map(fracs)}, element_at({minor}, system))")
     return featurise(formulas.withColumn("x", x), elements, pairs, "formula", ["system", "x"]).select(
         "system", "formula", "x", *FEATURES
     )

@@ -18,28 +18,25 @@ def formula_counts(df: DataFrame, formula: str = "formula") -> DataFrame:
     return df.groupBy(formula).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def _wide(parts: Column, symbols: list[str], missing: Column) -> list[Column]:
-    lookup = fx.parts_map(parts)
-    return [F.coalesce(F.element_at(lookup, F.lit(s)), missing).alias(s) for s in symbols]
-
-
 def stoichiometry_table(formulas: DataFrame, elements: DataFrame, formula: str = "formula") -> DataFrame:
     """Wide, zero-filled whole-number amounts: one column per element of the dimension, others left out.
 
     Row-local: the columns are read from the parsed composition, without a pivot or a shuffle.
     """
     symbols = known_symbols(elements)
-    stoich = F.explode(F.array(fx.stoichiometry(fx.parse_parts(F.col(formula)), symbols))).alias("st")
-    wide = formulas.select(formula, stoich)
-    return wide.select(formula, *[c.cast("bigint").alias(s) for s, c in zip(symbols, _wide(F.col("st"), symbols, F.lit(0.0)))])
+    stoich = fx.stoichiometry(fx.parse_parts(formula), symbols)
+    wide = formulas.selectExpr(formula, f"explode(array({fx.parts_map(stoich)})) as m")
+    return wide.selectExpr(
+        formula, *[f"cast(coalesce(element_at(m, {fx.text(s)}), 0) as bigint) as {s}" for s in symbols]
+    )
 
 
 def atomic_fraction_table(formulas: DataFrame, elements: DataFrame, formula: str = "formula") -> DataFrame:
     """Wide atomic fractions: one column per element, null where the element is absent."""
     symbols = known_symbols(elements)
-    fracs = fx.fractions(fx.stoichiometry(fx.parse_parts(F.col(formula)), symbols))
-    wide = formulas.select(formula, F.explode(F.array(fracs)).alias("fr"))
-    return wide.select(formula, *_wide(F.col("fr"), symbols, F.lit(None).cast("double")))
+    fracs = fx.fractions(fx.stoichiometry(fx.parse_parts(formula), symbols))
+    wide = formulas.selectExpr(formula, f"explode(array({fx.parts_map(fracs)})) as m")
+    return wide.selectExpr(formula, *[f"element_at(m, {fx.text(s)}) as {s}" for s in symbols])
 
 
 def element_occurrence(df: DataFrame, elements: DataFrame, formula: str = "formula") -> DataFrame:
@@ -49,7 +46,7 @@ def element_occurrence(df: DataFrame, elements: DataFrame, formula: str = "formu
     """
     mentions = (
         formula_counts(df.where(F.col(formula).isNotNull()), formula)
-        .select(formula, "n_rows", F.explode(fx.symbol_tokens(F.col(formula))).alias("symbol"))
+        .select(formula, "n_rows", F.expr(f"explode({fx.symbol_tokens(formula)}) as symbol"))
         .groupBy("symbol")
         .agg(F.sum("n_rows").alias("n"), F.count_distinct(formula).alias("n_formulas"))
     )

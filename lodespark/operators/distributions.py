@@ -17,8 +17,8 @@ VIOLIN_GRID = 100
 VIOLIN_CUT = 2.0
 
 
-def _groups(formula: Column) -> dict[str, Column]:
-    return {"all": F.lit(True), **{g: contains_element(formula, g) for g in GROUPS}}
+def _groups(formula: str) -> dict[str, Column]:
+    return {"all": F.lit(True), **{g: F.expr(contains_element(formula, g)) for g in GROUPS}}
 
 
 def fixed_bin(value: Column, width: float = BIN_WIDTH, n_bins: int = N_BINS) -> Column:
@@ -39,7 +39,7 @@ def group_histogram(df: DataFrame, formula: str = "formula", target: str = "ms")
 
     One aggregation by bin with a conditional count per group: rows are not multiplied by their groups.
     """
-    groups = {g: c for g, c in _groups(F.col(formula)).items() if g != "all"}
+    groups = {g: c for g, c in _groups(formula).items() if g != "all"}
     counts = (
         df.withColumn("bin", fixed_bin(F.col(target)))
         .where("bin is not null")
@@ -107,7 +107,7 @@ def auto_histogram(df: DataFrame, target: str = "ms") -> DataFrame:
 
 def grouped_values(df: DataFrame, formula: str = "formula", target: str = "ms") -> DataFrame:
     """Distinct (group, value) with counts: rows are combined before they are multiplied by their groups."""
-    groups = _groups(F.col(formula))
+    groups = _groups(formula)
     flags = [F.coalesce(c, F.lit(False)).alias(g) for g, c in groups.items()]
     combined = (
         df.where(F.col(target).isNotNull() & ~F.isnan(target))
@@ -194,6 +194,6 @@ def violin_density(df: DataFrame, formula: str = "formula", target: str = "ms")
 
 def long_groups(df: DataFrame, formula: str = "formula", target: str = "ms") -> DataFrame:
     """The stacked (group, value) rows behind the violins, for export."""
-    groups = _groups(F.col(formula))
+    groups = _groups(formula)
     member = F.array_compact(F.array(*[F.when(c, F.lit(g)) for g, c in groups.items()]))
     return df.select(F.explode(member).alias("grp"), F.col(target).alias("value"))

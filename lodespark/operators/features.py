@@ -41,26 +41,19 @@ def term_lookup(elements: DataFrame, pairs: DataFrame) -> DataFrame:
     return single.unionByName(pairs.where("a < b").select("a", "b", "h"), allowMissingColumns=True)
 
 
-def composition_terms(fracs: Column) -> Column:
+def composition_terms(fracs: str) -> str:
     """Weights of a composition: one term per element and one (4 x_a x_b) per unordered pair of elements."""
-    single = F.transform(fracs, lambda p: F.struct(p["el"].alias("a"), p["el"].alias("b"), p["n"].alias("w")))
-    pairs = F.flatten(
-        F.transform(
-            fracs,
-            lambda p: F.transform(
-                F.filter(fracs, lambda q: q["el"] > p["el"]),
-                lambda q: F.struct(p["el"].alias("a"), q["el"].alias("b"), (F.lit(4.0) * p["n"] * q["n"]).alias("w")),
-            ),
-        )
+    term = lambda a, b, w: f"named_struct('a', {a}, 'b', {b}, 'w', {w})"
+    single = f"transform(fr, p -> {term('p.el', 'p.el', 'p.n')})"
+    pairs = (
+        f"flatten(transform(fr, p -> transform(filter(fr, q -> q.el > p.el), q -> {term('p.el', 'q.el', '4D * p.n * q.n')})))"
     )
-    return F.concat(single, pairs)
+    return fx.let("fr", fracs, f"concat({single}, {pairs})")
 
 
-def _weighted(prop: str) -> Column:
+def _weighted(prop: str, out: str) -> Column:
     """Weighted sum over the elements; null as soon as one element lacks the property, 0 for no element."""
-    is_single = F.col("a") == F.col("b")
-    missing = F.count_if(is_single & F.col(prop).isNull())
-    return F.when(missing == 0, F.coalesce(F.sum(F.when(is_single, F.col("w") * F.col(prop))), F.lit(0.0)))
+    return F.expr(f"if(count_if(a = b and {prop} is null) = 0, coalesce(sum(w * {prop}) filter (where a = b), 0D), null) as {out}")
 
 
 def featurise(
@@ -77,44 +70,40 @@ def featurise(
     them up and one aggregation by formula folds them back. ``carry`` columns are functions of the formula and
     pass through. When the input is already partitioned by formula the aggregation needs no further shuffle.
     """
-    carry = carry or []
-    symbols = known_symbols(elements)
+    carry = [f"`{c}`" for c in carry or []]
+    key = f"`{formula}`"
+    fracs = fx.fractions(fx.stoichiometry("parts", known_symbols(elements), amounts))
     lookup = bounded_broadcast(term_lookup(elements, pairs))
-    parsed = fx.with_parts(formulas.select(formula, *carry), formula)
-    terms = parsed.select(
-        formula,
-        *carry,
-        fx.radix(F.col("parts")).alias("compoundradix"),
-        F.explode_outer(
-            composition_terms(fx.fractions(fx.stoichiometry(F.col("parts"), symbols, amounts)))
-        ).alias("t"),
-    ).select(formula, *carry, "compoundradix", "t.*")
-    is_single = F.col("a") == F.col("b")
-    grouped_weight = F.sum(F.when(is_single & F.col("grp").isNotNull(), F.col("w")))
-    missing_pair = F.count_if((F.col("a") < F.col("b")) & F.col("h").isNull())
-    readable = F.col("compoundradix").isNotNull()
+    terms = (
+        fx.with_parts(formulas.select(key, *carry), key)
+        .selectExpr(
+            key, *carry, f"{fx.radix('parts')} as compoundradix", f"explode_outer({composition_terms(fracs)}) as t"
+        )
+        .select(key, *carry, "compoundradix", "t.*")
+    )
     folded = (
         terms.join(lookup, ["a", "b"], "left")
-        .groupBy(formula)
+        .groupBy(key)
         .agg(
-            *[F.first(c).alias(c) for c in carry],
-            F.first("compoundradix").cast("double").alias("compoundradix"),
-            (F.lit(0.0) - F.coalesce(F.sum(F.when(is_single, F.col("w") * F.ln("w"))), F.lit(0.0))).alias("stoicentw"),
-            _weighted("z").alias("Zw"),
-            _weighted("per").alias("periodw"),
-            F.try_divide(F.sum(F.when(is_single, F.col("w") * F.col("grp"))), grouped_weight).alias("groupw"),
-            _weighted("melt").alias("meltingTw"),
-            F.when(
-                missing_pair == 0,
-                F.coalesce(F.sum(F.when(F.col("a") < F.col("b"), F.col("w") * F.col("h"))), F.lit(0.0)),
-            ).alias("miedemaH"),
-            _weighted("val").alias("valencew"),
-            _weighted("en").alias("electronegw"),
+            *[F.expr(f"first({c}) as {c}") for c in carry],
+            F.expr("cast(first(compoundradix) as double) as compoundradix"),
+            F.expr("0D - coalesce(sum(w * ln(w)) filter (where a = b), 0D) as stoicentw"),
+            _weighted("z", "Zw"),
+            _weighted("per", "periodw"),
+            F.expr(
+                "try_divide(sum(w * grp) filter (where a = b), sum(w) filter (where a = b and grp is not null)) as groupw"
+            ),
+            _weighted("melt", "meltingTw"),
+            F.expr(
+                "if(count_if(a < b and h is null) = 0, coalesce(sum(w * h) filter (where a < b), 0D), null) as miedemaH"
+            ),
+            _weighted("val", "valencew"),
+            _weighted("en", "electronegw"),
         )
     )
-    return folded.select(
-        formula, *carry, "compoundradix", *[F.when(readable, F.col(c)).alias(c) for c in FEATURES if c != "compoundradix"]
-    )
+    # A formula that cannot be read has no features at all.
+    readable = [f"if(compoundradix is null, null, {c}) as {c}" for c in FEATURES if c != "compoundradix"]
+    return folded.selectExpr(key, *carry, "compoundradix", *readable)
 
 
 def drop_missing(df: DataFrame, target: str, features: list[str] = FEATURES) -> DataFrame:

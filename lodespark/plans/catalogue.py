@@ -189,7 +189,7 @@ def a5(spark, sf):
     ["compounds", "properties"],
 )
 def a6(spark, sf):
-    seen = _formulas(spark, sf).select(F.explode(fx.symbol_tokens(F.col("formula"))).alias("symbol")).distinct()
+    seen = _formulas(spark, sf).select(F.expr(f"explode({fx.symbol_tokens('formula')}) as symbol")).distinct()
     elements = dimensions.sample_elements(spark)
     return elements.join(seen, "symbol", "left_semi").select(
         "symbol",
@@ -384,8 +384,8 @@ def b14(spark, sf):
     return (
         fixture(spark, sf, "compounds")
         .groupBy(
-            fx.contains_element(F.col("formula"), "Fe").alias("has_fe"),
-            fx.contains_element(F.col("formula"), "S").alias("has_s_text"),
+            F.expr(fx.contains_element("formula", "Fe")).alias("has_fe"),
+            F.expr(fx.contains_element("formula", "S")).alias("has_s_text"),
         )
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -397,7 +397,7 @@ def b14(spark, sf):
 @entry("c1_composition", "select formula, el, n from compounds_parts", ["compounds_features"])
 def c1(spark, sf):
     parsed = fx.with_parts(_formulas(spark, sf))
-    return parsed.select("formula", F.explode(fx.parts_map(F.col("parts"))).alias("el", "n"))
+    return parsed.select("formula", F.explode(F.expr(fx.parts_map("parts"))).alias("el", "n"))
 
 
 @entry(
@@ -407,7 +407,7 @@ def c1(spark, sf):
 )
 def c2(spark, sf):
     parsed = fx.with_parts(_formulas(spark, sf))
-    return parsed.select("formula", fx.radix(F.col("parts")).cast("bigint").alias("radix"))
+    return parsed.select("formula", F.expr(fx.radix("parts")).cast("bigint").alias("radix"))
 
 
 def _wide_sql(value: str, missing: str, symbols: list[str], source: str) -> str:
@@ -439,7 +439,7 @@ def c3(spark, sf):
 )
 def c4(spark, sf):
     rows = composition.formula_counts(cleaning.rename_formula(fixture(spark, sf, "exports")))
-    symbols = rows.select(F.explode(fx.symbol_tokens(F.col("formula"))).alias("symbol")).distinct()
+    symbols = rows.select(F.expr(f"explode({fx.symbol_tokens('formula')}) as symbol")).distinct()
     return dimensions.symbols_by_length(symbols).select("symbol", F.col("len").cast("bigint").alias("len"))
 
 
@@ -458,8 +458,8 @@ def c5(spark, sf):
 def c6(spark, sf):
     symbols = dimensions.known_symbols(dimensions.sample_elements(spark))
     parsed = fx.with_parts(_formulas(spark, sf))
-    fracs = fx.fractions(fx.stoichiometry(F.col("parts"), symbols))
-    return parsed.select("formula", F.explode(fracs).alias("p")).select("formula", "p.el", F.col("p.n").alias("af"))
+    fracs = fx.fractions(fx.stoichiometry("parts", symbols))
+    return parsed.selectExpr("formula", f"explode({fracs}) as p").select("formula", "p.el", F.col("p.n").alias("af"))
 
 
 @entry(

@@ -75,7 +75,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast when ``df`` has at most ``max_rows`` rows; otherwise leave the join to shuffle."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    small = len(df.select(F.lit(1)).limit(max_rows + 1).collect()) <= max_rows
+    return F.broadcast(df) if small else df
 
 
 def sized(df: DataFrame, rows_per_partition: int = PARTITION_ROWS) -> DataFrame:

@@ -116,7 +116,7 @@ def symbols_by_length(elements: DataFrame) -> DataFrame:
 
 def known_symbols(elements: DataFrame, max_symbols: int = 200) -> list[str]:
     """The symbols of the element dimension as a short list, for array literals and fixed pivots."""
-    rows = elements.select("symbol").distinct().orderBy("symbol").limit(max_symbols + 1).collect()
+    rows = elements.select("symbol").limit(max_symbols + 1).collect()
     if len(rows) > max_symbols:
         raise ValueError(f"an element table has at most {max_symbols} symbols")
-    return [r.symbol for r in rows]
+    return sorted({r.symbol for r in rows})
