@@ -25,6 +25,11 @@ def text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def name(column: str) -> str:
+    """A column name as SQL, whatever characters it has."""
+    return "`" + column.strip("`") + "`"
+
+
 def texts(values: list[str]) -> str:
     """A SQL array of string literals."""
     return "array(" + ", ".join(text(v) for v in values) + ")"
@@ -128,7 +133,7 @@ def with_parts(df: DataFrame, formula: str = "formula", out: str = "parts") -> D
     The array goes through ``explode`` of a one-element array: a generator stops the optimizer from folding the
     parser into every later reference, so each formula is parsed once.
     """
-    return df.select("*", F.expr(f"explode(array({parse_parts(formula)})) as {out}"))
+    return df.select("*", F.expr(f"explode(array({parse_parts(name(formula))})) as {out}"))
 
 
 def contains_element(formula: str, symbol: str) -> str:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodespark.functions.formula import mentions_any
+from lodespark.functions.formula import mentions_any, name
 
 # Bohr magnetons per cubic angstrom to tesla: mu_B / 1e-30 * mu_0, about 11.654.
 BOHR_MAGNETON = 9.274e-24
@@ -40,7 +40,7 @@ def keep_magnetic(df: DataFrame, flag: str = "is_magnetic") -> DataFrame:
 
 def exclude_elements(df: DataFrame, symbols: list[str], formula: str = "formula") -> DataFrame:
     """Drop rows whose formula mentions one of the elements: one predicate, one pass."""
-    return df.where(f"not {mentions_any(formula, symbols)}")
+    return df.where(f"not {mentions_any(name(formula), symbols)}")
 
 
 def clean_export(
@@ -64,8 +64,8 @@ def cleaning_audit(df: DataFrame, composition: str = "composition") -> DataFrame
     counts = df.groupBy(composition).agg(
         F.count(F.lit(1)).alias("n"), F.count_if("is_magnetic").alias("n_magnetic")
     )
-    rare = F.expr(f"coalesce({mentions_any(composition, RARE_EARTHS)}, false)")
-    scarce = F.expr(f"coalesce({mentions_any(composition, NON_COMMERCIAL)}, false)")
+    rare = F.expr(f"coalesce({mentions_any(name(composition), RARE_EARTHS)}, false)")
+    scarce = F.expr(f"coalesce({mentions_any(name(composition), NON_COMMERCIAL)}, false)")
     total = lambda name, col: F.coalesce(F.sum(col), F.lit(0)).cast("bigint").alias(name)
     wide = counts.agg(
         total("initial", F.col("n")),

@@ -24,19 +24,19 @@ def stoichiometry_table(formulas: DataFrame, elements: DataFrame, formula: str =
     Row-local: the columns are read from the parsed composition, without a pivot or a shuffle.
     """
     symbols = known_symbols(elements)
-    stoich = fx.stoichiometry(fx.parse_parts(formula), symbols)
-    wide = formulas.selectExpr(formula, f"explode(array({fx.parts_map(stoich)})) as m")
+    stoich = fx.stoichiometry(fx.parse_parts(fx.name(formula)), symbols)
+    wide = formulas.selectExpr(fx.name(formula), f"explode(array({fx.parts_map(stoich)})) as m")
     return wide.selectExpr(
-        formula, *[f"cast(coalesce(element_at(m, {fx.text(s)}), 0) as bigint) as {s}" for s in symbols]
+        fx.name(formula), *[f"cast(coalesce(element_at(m, {fx.text(s)}), 0) as bigint) as {s}" for s in symbols]
     )
 
 
 def atomic_fraction_table(formulas: DataFrame, elements: DataFrame, formula: str = "formula") -> DataFrame:
     """Wide atomic fractions: one column per element, null where the element is absent."""
     symbols = known_symbols(elements)
-    fracs = fx.fractions(fx.stoichiometry(fx.parse_parts(formula), symbols))
-    wide = formulas.selectExpr(formula, f"explode(array({fx.parts_map(fracs)})) as m")
-    return wide.selectExpr(formula, *[f"element_at(m, {fx.text(s)}) as {s}" for s in symbols])
+    fracs = fx.fractions(fx.stoichiometry(fx.parse_parts(fx.name(formula)), symbols))
+    wide = formulas.selectExpr(fx.name(formula), f"explode(array({fx.parts_map(fracs)})) as m")
+    return wide.selectExpr(fx.name(formula), *[f"element_at(m, {fx.text(s)}) as {s}" for s in symbols])
 
 
 def element_occurrence(df: DataFrame, elements: DataFrame, formula: str = "formula") -> DataFrame:
@@ -46,7 +46,7 @@ def element_occurrence(df: DataFrame, elements: DataFrame, formula: str = "formu
     """
     mentions = (
         formula_counts(df.where(F.col(formula).isNotNull()), formula)
-        .select(formula, "n_rows", F.expr(f"explode({fx.symbol_tokens(formula)}) as symbol"))
+        .select(formula, "n_rows", F.expr(f"explode({fx.symbol_tokens(fx.name(formula))}) as symbol"))
         .groupBy("symbol")
         .agg(F.sum("n_rows").alias("n"), F.count_distinct(formula).alias("n_formulas"))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodespark.functions.formula import contains_element
+from lodespark.functions.formula import contains_element, name
 from lodespark.operators.quantiles import exact_quantiles
 
 # Element groups and the histogram of the target (tesla).
@@ -18,7 +18,7 @@ VIOLIN_CUT = 2.0
 
 
 def _groups(formula: str) -> dict[str, Column]:
-    return {"all": F.lit(True), **{g: F.expr(contains_element(formula, g)) for g in GROUPS}}
+    return {"all": F.lit(True), **{g: F.expr(contains_element(name(formula), g)) for g in GROUPS}}
 
 
 def fixed_bin(value: Column, width: float = BIN_WIDTH, n_bins: int = N_BINS) -> Column:

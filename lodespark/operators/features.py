@@ -70,8 +70,8 @@ def featurise(
     them up and one aggregation by formula folds them back. ``carry`` columns are functions of the formula and
     pass through. When the input is already partitioned by formula the aggregation needs no further shuffle.
     """
-    carry = [f"`{c}`" for c in carry or []]
-    key = f"`{formula}`"
+    carry = [fx.name(c) for c in carry or []]
+    key = fx.name(formula)
     fracs = fx.fractions(fx.stoichiometry("parts", known_symbols(elements), amounts))
     lookup = bounded_broadcast(term_lookup(elements, pairs))
     terms = (

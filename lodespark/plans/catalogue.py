@@ -76,9 +76,14 @@ def _formulas(spark: SparkSession, sf: str) -> DataFrame:
     return composition.formula_counts(fixture(spark, sf, "compounds")).select("formula")
 
 
+def _kept(spark: SparkSession, sf: str) -> DataFrame:
+    """The feature table, kept because model queries go over it more than once."""
+    return _table(spark, sf).persist()
+
+
 def _holdout(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Training and held-out rows; kept, as the fits go over them again and again."""
-    split = splits.holdout_split(_table(spark, sf)).persist()
+    """Training and held-out rows, kept for the same reason."""
+    split = splits.holdout_split(_kept(spark, sf)).persist()
     return split.where("is_train"), split.where("not is_train")
 
 
@@ -133,10 +138,8 @@ def a1(spark, sf):
 )
 def a2(spark, sf):
     docs = _docs(spark, sf)
-    both = documents.good_documents(docs).select(F.lit("good").alias("status"), "k").union(
-        documents.quarantined_documents(docs).select(F.lit("malformed"), "k")
-    )
-    return both.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("k").alias("n_orders"))
+    counted = documents.document_status(docs).groupBy("status")
+    return counted.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("k").alias("n_orders"))
 
 
 _TC = "doc->'$.properties.magnetics.\"curie temperature\"'"
@@ -575,7 +578,7 @@ def e5(spark, sf):
 
 def _plane(key: str, params: dict | None = None) -> Query:
     def run(spark, sf):
-        table = _table(spark, sf)
+        table = _kept(spark, sf)
         return fit_model(key, table, PLANE, params=params).transform(table).select("formula", F.col("prediction").alias("yhat"))
 
     return run
@@ -591,7 +594,7 @@ _LINE = """fit as (select {slope} as w, mx, my from (select avg(valencew) as mx,
 
 def _line(key: str, params: dict) -> Query:
     def run(spark, sf):
-        table = _table(spark, sf)
+        table = _kept(spark, sf)
         model = fit_model(key, table, ["valencew"], params=params)
         return model.transform(table).select("formula", F.col("prediction").alias("yhat"))
 
@@ -646,7 +649,7 @@ _FOLDS = [
 
 
 def _search(key: str) -> Query:
-    return lambda spark, sf: tuning.grid_search(key, _table(spark, sf), ["valencew"])[1]
+    return lambda spark, sf: tuning.grid_search(key, _kept(spark, sf), ["valencew"])[1]
 
 
 def _search_sql(points: str, names: str, weight: str) -> tuple[str, list[str], list[str]]:
@@ -684,7 +687,7 @@ entry(
 
 
 def _search_grid(key: str, grid: dict[str, list]) -> Query:
-    return lambda spark, sf: tuning.grid_search(key, _table(spark, sf), FEATURES, grid=grid)[1]
+    return lambda spark, sf: tuning.grid_search(key, _kept(spark, sf), FEATURES, grid=grid)[1]
 
 
 entry("f13_tune_forest")(
@@ -745,13 +748,13 @@ def g3(spark, sf):
     metrics.METRICS,
 )
 def g3_linear(spark, sf):
-    return tuning.cross_validate(_table(spark, sf), ["valencew"], ["linear"], 10, SEEDS)
+    return tuning.cross_validate(_kept(spark, sf), ["valencew"], ["linear"], 10, SEEDS)
 
 
 @entry("g3_cross_validation")
 def g3_models(spark, sf):
     return tuning.cross_validate(
-        _table(spark, sf), FEATURES, ["linear", "ridge", "lasso", "elasticnet", "rf"], 3, [0], settings={"rf": SMALL_FOREST}
+        _kept(spark, sf), FEATURES, ["linear", "ridge", "lasso", "elasticnet", "rf"], 3, [0], settings={"rf": SMALL_FOREST}
     )
 
 
@@ -881,7 +884,7 @@ _CASE_ROWS = """select system, formula, x, 'linear' as source, fit.b + fit.w1 *
 
 
 def _plane_models(spark: SparkSession, sf: str) -> dict[str, Any]:
-    table = _table(spark, sf)
+    table = _kept(spark, sf)
     return {m: fit_model(m, table, PLANE) for m in ("linear", "ridge")}
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodespark.session import spread
+
 DIALECTS = {"spark": {"str": "string", "d": "D"}, "duckdb": {"str": "varchar", "d": "::double"}}
 
 COMPOUNDS = """
@@ -67,6 +69,9 @@ _MODELS = {"spark": "explode(array('a', 'b'))", "duckdb": "unnest(['a', 'b'])"}
 
 FIXTURES = {"compounds": COMPOUNDS, "exports": EXPORTS, "documents_json": DOCUMENTS, "predictions": PREDICTIONS}
 
+# Views whose rows are costly to read back: worth spreading a small input for.
+HEAVY = {"documents_json"}
+
 
 def fixture_sql(name: str, dialect: str = "duckdb") -> str:
     """The SQL of a fixture view in one dialect."""
@@ -76,5 +81,7 @@ def fixture_sql(name: str, dialect: str = "duckdb") -> str:
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view over the tables in ``sf_dir``."""
     lineitem = spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet")
+    if name in HEAVY:
+        lineitem = spread(lineitem)
     text = fixture_sql(name, "spark").replace("{", "{{").replace("}", "}}")
     return spark.sql(text.replace("from lineitem", "from {lineitem}"), lineitem=lineitem)

@@ -85,3 +85,13 @@ def sized(df: DataFrame, rows_per_partition: int = PARTITION_ROWS) -> DataFrame:
     Such fits run hundreds of short jobs, each paying for every task; a large table keeps its partitions.
     """
     return df.coalesce(max(1, -(-df.count() // rows_per_partition)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input that comes in fewer splits than there are cores.
+
+    A single small file would otherwise keep one task busy. Inputs with enough splits pass untouched, so nothing
+    is shuffled on large data.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

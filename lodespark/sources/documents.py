@@ -110,6 +110,12 @@ def quarantined_documents(docs: DataFrame) -> DataFrame:
     return docs.where(F.col(CORRUPT).isNotNull()).drop("properties")
 
 
+def document_status(docs: DataFrame) -> DataFrame:
+    """All documents with ``status`` good or malformed, without the parsed part: one pass counts both."""
+    status = F.when(F.col(CORRUPT).isNull(), F.lit("good")).otherwise(F.lit("malformed"))
+    return docs.withColumn("status", status).drop("properties", CORRUPT)
+
+
 def unwrap(node: Column) -> Column:
     """Replace a JSON object whose only key is ``value`` by that value; anything else stays as it is."""
     keys = F.json_object_keys(node)
