@@ -95,7 +95,8 @@ def exact_quantiles(
     def interpolated(name: str, p: float) -> Column:
         position = F.lit(p) * (F.max("_n") - 1)
         lo, hi = at(name, "lo"), at(name, "hi")
-        return (lo + (hi - lo) * (position - F.floor(position))).alias(name)
+        share = position - F.floor(position)
+        return F.when(lo == hi, lo).otherwise(lo * (F.lit(1.0) - share) + hi * share).alias(name)
 
     return found.groupBy(*keys).agg(
         *[interpolated(name, p) for name, p in probs.items()], F.max("_n").alias("n")

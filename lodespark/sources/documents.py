@@ -77,19 +77,17 @@ def document_schema(corrupt: bool = True) -> T.StructType:
 def read_documents(spark: SparkSession, root: str) -> DataFrame:
     """Scan a folder tree for ``*.json`` property documents (Latin-1, one document per file).
 
-    Malformed files stay in the result with the text in ``_corrupt_record``; ``path`` names the file.
+    Whole files are read as bytes and packed into tasks by size. Malformed files stay in the result with their text
+    in ``_corrupt_record``; ``path`` names the file.
     """
-    return (
-        spark.read.schema(document_schema())
-        .option("multiLine", True)
+    files = (
+        spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json")
-        .option("encoding", "ISO-8859-1")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(root)
-        .withColumn("path", F.col("_metadata.file_path"))
+        .load(root)
+        .select("path", F.decode("content", "ISO-8859-1").alias("doc"))
     )
+    return parse_documents(files, "doc", ["path"])
 
 
 def parse_documents(df: DataFrame, column: str = "doc", keep: list[str] | None = None) -> DataFrame:
