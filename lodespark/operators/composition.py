@@ -44,16 +44,21 @@ def element_occurrence(df: DataFrame, elements: DataFrame, formula: str = "formu
 
     Symbols are whole tokens, so ``S`` is not found inside ``Si``. Rows are counted per distinct formula first.
     """
+    tokens = fx.symbol_tokens(fx.name(formula))
     mentions = (
         formula_counts(df.where(F.col(formula).isNotNull()), formula)
-        .select(formula, "n_rows", F.expr(f"explode({fx.symbol_tokens(fx.name(formula))}) as symbol"))
+        .selectExpr("n_rows", f"explode(array({tokens})) as tokens")
+        .selectExpr("n_rows", "tokens", "explode(array_distinct(tokens)) as symbol")
+        .join(bounded_broadcast(elements.select("symbol").distinct()), "symbol")
         .groupBy("symbol")
-        .agg(F.sum("n_rows").alias("n"), F.count_distinct(formula).alias("n_formulas"))
+        .agg(
+            F.expr("sum(n_rows * size(filter(tokens, t -> t = symbol))) as n"), F.count(F.lit(1)).alias("n_formulas")
+        )
     )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
     return (
         elements.select("symbol")
-        .join(bounded_broadcast(mentions), "symbol", "left")
+        .join(mentions, "symbol", "left")
         .select(F.col("symbol").alias("element"), zero("n").alias("count"), zero("n_formulas").alias("n_formulas"))
         .orderBy(F.length("element").desc(), "element")
     )

@@ -78,8 +78,7 @@ def auto_bins(df: DataFrame, target: str = "ms") -> DataFrame:
 
 def auto_histogram(df: DataFrame, target: str = "ms") -> DataFrame:
     """Zero-filled histogram of all targets with automatic bins, which enter as a scalar subquery."""
-    bins = auto_bins(df, target)
-    spec = bins.select(F.struct("lo", "hi", "n_bins").alias("spec")).scalar()
+    spec = auto_bins(df, target).select(F.struct("lo", "hi", "n_bins").alias("spec")).scalar()
     step = (F.col("b.hi") - F.col("b.lo")) / F.col("b.n_bins")
     edge = lambda i: F.col("b.lo") + i * step
     guess = F.floor((F.col(target) - F.col("b.lo")) / step)
@@ -94,7 +93,7 @@ def auto_histogram(df: DataFrame, target: str = "ms") -> DataFrame:
         .groupBy("bin")
         .agg(F.sum("n").alias("n"))
     )
-    frame = bins.select(F.struct("lo", "hi", "n_bins").alias("b")).select(
+    frame = df.sparkSession.range(1).select(spec.alias("b")).where("b is not null").select(
         "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("b.n_bins") - 1)).alias("bin")
     )
     frame = frame.select(

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Buckets per factor of two; a value range of 0.1 to 10 makes about 27,000 of them.
-BUCKETS_PER_OCTAVE = 4096
+# Buckets per factor of two. A group has at most this many per octave of its values, which bounds what one task
+# scans for ranks; values spread over an octave leave a 2^-18 share of the group to sort in one bucket.
+BUCKETS_PER_OCTAVE = 2**18
 _SHIFT = 1100 * BUCKETS_PER_OCTAVE
 
 

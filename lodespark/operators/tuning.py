@@ -26,12 +26,20 @@ from lodespark.operators.regressors import (
     model_spec,
     predict,
 )
-from lodespark.operators.splits import kfold, repeated_kfold, union_all
+from lodespark.operators.splits import kfold, repeated_kfold
 from lodespark.session import inline_table, sized
 
 LINEAR_FAMILY = ("linear", "ridge", "lasso", "elasticnet")
 PARALLEL_FITS = 4
 SEARCH_FOLDS = 5
+FOLD_SCHEMA = T.StructType(
+    [
+        T.StructField("seed", T.IntegerType()),
+        T.StructField("model", T.StringType()),
+        T.StructField("fold", T.IntegerType()),
+        *[T.StructField(m, T.DoubleType()) for m in METRICS],
+    ]
+)
 
 
 def _parallel(spark: SparkSession, jobs: list[Callable[[], Any]], parallelism: int) -> list[Any]:
@@ -247,18 +255,10 @@ def cross_validate(
 
     shared = [m for m in keys if m in LINEAR_FAMILY and m not in given and not (tune and specs[m].grid)]
     jobs = [job(m, s, f) for m in keys if m not in shared for s in seeds for f in range(1, k + 1)]
-    frames = []
-    if jobs:
-        rows = [r for part in _parallel(spark, jobs, parallelism) for r in part]
-        schema = T.StructType(
-            [
-                T.StructField("seed", T.IntegerType()),
-                T.StructField("model", T.StringType()),
-                T.StructField("fold", T.IntegerType()),
-                *[T.StructField(m, T.DoubleType()) for m in METRICS],
-            ]
-        )
-        frames.append(inline_table(spark, schema, rows))
+    rows = [r for part in _parallel(spark, jobs, parallelism) for r in part]
     if shared:
-        frames.append(fold_metrics(linear_cv_predictions(folds, features, target, shared), ["seed", "model", "fold"]))
-    return union_all(frames)
+        scored = fold_metrics(linear_cv_predictions(folds, features, target, shared), ["seed", "model", "fold"])
+        rows += [(r.seed, r.model, r.fold, *[float(r[x]) for x in METRICS]) for r in scored.collect()]
+    folds.unpersist()
+    # One row per seed, fold and model.
+    return inline_table(spark, FOLD_SCHEMA, rows)

@@ -73,7 +73,7 @@ def test_linear_search_matches_refits(data):
 
 def test_unknown_models(data):
     with pytest.raises(ValueError, match="Unknown model key"):
-        model_spec("catboost")
+        model_spec("nope")
     with pytest.raises(ValueError):
         tuning.grid_search("linear", data[0], XS)
 

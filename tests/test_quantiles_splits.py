@@ -15,6 +15,7 @@ def test_quantiles_match_brute_force(spark):
         "wide": rng.normal(0, 1, 300) * 10.0 ** rng.integers(-30, 30, 300),
         "ties": np.repeat([-2.0, 0.0, 7.0], 5),
         "one": np.array([3.5]),
+        "narrow": 1000 + rng.random(2_000) * 1e-4,
         None: np.array([1.0, 2.0]),
     }
     rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("hot", None), ("hot", float("nan")), ("none", None)]

@@ -151,3 +151,15 @@ def test_interpretation(spark, folder, dims):
 
 def test_scratch_needs_a_shared_folder(spark):
     assert scratch_root(spark)
+
+
+def test_export_filter_reaches_the_scan(spark, tmp_path):
+    from lodespark.operators.cleaning import clean_export
+
+    path = str(tmp_path / "wide")
+    spark.range(5).selectExpr(
+        "'Fe2O3' as composition", "'0.1' as total_magnetization_normalized_vol", "id > 2 as is_magnetic", "id as unused"
+    ).write.parquet(path)
+    plan = clean_export(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [" in plan and "EqualTo(is_magnetic,true)" in plan
+    assert "ReadSchema" in plan and "unused" not in plan and "Exchange" not in plan
