@@ -7,32 +7,31 @@ and sort only those.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodespark.functions.formula import name
+
 # Buckets per factor of two. A group has at most this many per octave of its values, which bounds what one task
 # scans for ranks; values spread over an octave leave a 2^-18 share of the group to sort in one bucket.
 BUCKETS_PER_OCTAVE = 2**18
 _SHIFT = 1100 * BUCKETS_PER_OCTAVE
 
 
-def value_bucket(value: Column) -> Column:
-    """A bucket number that never decreases as the value grows (signed logarithmic bins)."""
-    size = F.floor(F.log2(F.abs(value)) * BUCKETS_PER_OCTAVE) + F.lit(_SHIFT)
-    return F.when(value == 0, F.lit(0)).otherwise(F.signum(value).cast("bigint") * size).cast("bigint")
+def value_bucket(value: str) -> str:
+    """SQL for a bucket number that never decreases as the value grows (signed logarithmic bins)."""
+    size = f"floor(log2(abs({value})) * {BUCKETS_PER_OCTAVE}) + {_SHIFT}L"
+    return f"if({value} = 0, 0L, cast(signum({value}) as bigint) * ({size}))"
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
     """Distinct values per key with counts; nulls and NaN are left out. Combined before the shuffle."""
-    amount = F.sum(weight) if weight else F.count(F.lit(1))
+    amount = f"sum({name(weight)})" if weight else "count(1)"
     return (
-        df.where(F.col(value).isNotNull() & ~F.isnan(value))
-        .withColumn("_bucket", value_bucket(F.col(value)))
+        df.where(f"{name(value)} is not null and not isnan({name(value)})")
+        .selectExpr("*", f"{value_bucket(name(value))} as _bucket")
         .groupBy(*keys, "_bucket", value)
-        .agg(amount.cast("bigint").alias("_count"))
+        .agg(F.expr(f"cast({amount} as bigint) as _count"))
     )
 
 
@@ -41,71 +40,56 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles per key, one column for each entry of ``probs``; also ``n``."""
     counts = value_counts(df, keys, value, weight)
-    hist = counts.groupBy(*keys, "_bucket").agg(F.sum("_count").alias("_bucket_count"))
-
-    group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    running = group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    hist = hist.select(
-        *keys,
-        "_bucket",
-        (F.sum("_bucket_count").over(running) - F.col("_bucket_count")).alias("_before"),
-        "_bucket_count",
-        F.sum("_bucket_count").over(group).alias("_n"),
-    )
-    wanted = F.array(
-        *[
-            F.struct(F.lit(f"{name}|{side}").alias("slot"), fn(F.lit(p) * (F.col("_n") - 1)).cast("bigint").alias("rank"))
-            for name, p in probs.items()
-            for side, fn in (("lo", F.floor), ("hi", F.ceil))
-        ]
-    )
+    names = [name(k) for k in keys]
+    group = f"partition by {', '.join(names)}" if names else ""
+    slots = [
+        f"named_struct('slot', '{label}|{side}', 'rank', cast({side}({p}D * (_n - 1)) as bigint))"
+        for label, p in probs.items()
+        for side in ("floor", "ceil")
+    ]
     # The few buckets that hold a wanted rank, each with its ranks counted from the bucket's own start.
     picks = (
-        hist.withColumn(
-            "_want",
-            F.transform(
-                F.filter(
-                    wanted,
-                    lambda w: (w["rank"] >= F.col("_before")) & (w["rank"] < F.col("_before") + F.col("_bucket_count")),
-                ),
-                lambda w: F.struct(w["slot"].alias("slot"), (w["rank"] - F.col("_before")).alias("rank")),
-            ),
+        counts.groupBy(*keys, "_bucket")
+        .agg(F.expr("sum(_count) as _size"))
+        .selectExpr(
+            *names,
+            "_bucket",
+            "_size",
+            f"sum(_size) over ({group} order by _bucket rows unbounded preceding) - _size as _before",
+            f"sum(_size) over ({group}) as _n",
+        )
+        .selectExpr(
+            *names,
+            "_bucket",
+            "_n",
+            f"""transform(filter(array({', '.join(slots)}), s -> s.rank >= _before and s.rank < _before + _size),
+                s -> named_struct('slot', s.slot, 'rank', s.rank - _before)) as _want""",
         )
-        .where(F.size("_want") > 0)
-        .select(*keys, "_bucket", "_n", "_want")
+        .where("size(_want) > 0")
     )
-    inside = W.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = f"partition by {', '.join([*names, '_bucket'])} order by {name(value)} rows unbounded preceding"
     found = (
         _join(counts, picks, [*keys, "_bucket"])
-        .withColumn("_upto", F.sum("_count").over(inside))
-        .select(
-            *keys,
+        .selectExpr("*", f"sum(_count) over ({inside}) as _upto")
+        .selectExpr(
+            *names,
             "_n",
-            F.col(value).alias("_value"),
-            F.filter(
-                "_want", lambda w: (w["rank"] < F.col("_upto")) & (w["rank"] >= F.col("_upto") - F.col("_count"))
-            ).alias("_hit"),
+            f"{name(value)} as _value",
+            "explode(filter(_want, s -> s.rank < _upto and s.rank >= _upto - _count).slot) as _slot",
         )
-        .where(F.size("_hit") > 0)
-        .select(*keys, "_n", "_value", F.explode("_hit.slot").alias("_slot"))
     )
+    at = lambda label, side: f"max(_value) filter (where _slot = '{label}|{side}')"
 
-    def at(name: str, side: str) -> Column:
-        return F.max(F.when(F.col("_slot") == f"{name}|{side}", F.col("_value")))
-
-    def interpolated(name: str, p: float) -> Column:
-        position = F.lit(p) * (F.max("_n") - 1)
-        lo, hi = at(name, "lo"), at(name, "hi")
-        share = position - F.floor(position)
-        return F.when(lo == hi, lo).otherwise(lo * (F.lit(1.0) - share) + hi * share).alias(name)
+    def interpolated(label: str, p: float) -> str:
+        lo, hi, share = at(label, "floor"), at(label, "ceil"), f"({p}D * (max(_n) - 1)) % 1"
+        return f"if({lo} = {hi}, {lo}, {lo} * (1D - {share}) + {hi} * ({share})) as {name(label)}"
 
     return found.groupBy(*keys).agg(
-        *[interpolated(name, p) for name, p in probs.items()], F.max("_n").alias("n")
+        *[F.expr(interpolated(label, p)) for label, p in probs.items()], F.expr("max(_n) as n")
     )
 
 
 def _join(counts: DataFrame, picks: DataFrame, on: list[str]) -> DataFrame:
     """Null-safe equi-join, as a null key is a group of its own."""
-    left, right = counts.alias("l"), picks.alias("r")
-    cond = reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in on])
-    return left.join(right, cond).select("l.*", "r._n", "r._want")
+    match = " and ".join(f"l.{name(c)} <=> r.{name(c)}" for c in on)
+    return counts.alias("l").join(picks.alias("r"), F.expr(match)).selectExpr("l.*", "r._n", "r._want")

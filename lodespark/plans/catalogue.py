@@ -63,8 +63,15 @@ def rounded(df: DataFrame, digits: list[str]) -> DataFrame:
     return df.select(*[(F.round(F.col(c) + F.lit(1e-9), 6) + F.lit(0.0)).alias(c) if c in digits else F.col(f"`{c}`") for c in df.columns])
 
 
+_DIMS: dict[str, tuple[DataFrame, DataFrame]] = {}
+
+
 def _dims(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return dimensions.sample_elements(spark), dimensions.sample_pairs(spark)
+    """The sample dimensions, planned once per session."""
+    app = spark.sparkContext.applicationId
+    if app not in _DIMS:
+        _DIMS[app] = dimensions.sample_elements(spark), dimensions.sample_pairs(spark)
+    return _DIMS[app]
 
 
 def _table(spark: SparkSession, sf: str, source: str = "compounds") -> DataFrame:

@@ -117,12 +117,15 @@ def cross_validation_run(
     seeds: list[int] | None = None,
     tune: bool = False,
     shuffle: bool = True,
+    settings: dict[str, dict] | None = None,
     formula: str = FORMULA,
     target: str = TARGET,
 ) -> dict[str, DataFrame]:
     """Fold metrics and summary per seed; with both tree models, also their wins and paired tests."""
     features = feature_columns(table, target, formula)
-    folds = cross_validate(table, features, keys, k, seeds, target, formula, tune, shuffle=shuffle).persist()
+    folds = cross_validate(
+        table, features, keys, k, seeds, target, formula, tune, settings=settings, shuffle=shuffle
+    )
     out = {"folds": folds, "summary": metrics.cv_summary(folds, ["seed", "model"])}
     if "rf" in keys and "xgb" in keys:
         pair = MODELS["rf"].name, MODELS["xgb"].name

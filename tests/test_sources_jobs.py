@@ -130,6 +130,10 @@ def test_runs_end_to_end(spark, folder, tmp_path, dims):
     assert foreign.metrics.count() == 1
     cv = jobs.cross_validation_run(table, ["linear", "lasso"], 4, [0, 5])
     assert cv["summary"].count() == 4 and "wins" not in cv
+    small = {"rf": {"n_estimators": 3, "max_depth": 3}, "xgb": {"n_estimators": 2, "max_depth": 2}}
+    trees = jobs.cross_validation_run(table, ["rf", "xgb"], 3, [0, 5], settings=small)
+    assert [w.wins_a + w.wins_b + w.ties for w in trees["wins"].collect()] == [3, 3]
+    assert trees["paired_t"].count() == trees["wilcoxon"].count() == 4
     report = jobs.distribution_report(table)
     assert {r.name for r in report["radix"].collect()} == {"binary"} and report["density"].count() > 0
     with pytest.raises(ValueError):
