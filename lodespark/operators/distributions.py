@@ -78,7 +78,8 @@ def auto_bins(df: DataFrame, target: str = "ms") -> DataFrame:
 
 def auto_histogram(df: DataFrame, target: str = "ms") -> DataFrame:
     """Zero-filled histogram of all targets with automatic bins, which enter as a scalar subquery."""
-    spec = auto_bins(df, target).select(F.struct("lo", "hi", "n_bins").alias("spec")).scalar()
+    # Exploded, so that the optimizer does not copy the subquery into every reference to the bins.
+    spec = F.explode(F.array(auto_bins(df, target).select(F.struct("lo", "hi", "n_bins").alias("spec")).scalar()))
     step = (F.col("b.hi") - F.col("b.lo")) / F.col("b.n_bins")
     edge = lambda i: F.col("b.lo") + i * step
     guess = F.floor((F.col(target) - F.col("b.lo")) / step)
@@ -88,7 +89,7 @@ def auto_histogram(df: DataFrame, target: str = "ms") -> DataFrame:
         df.where(F.col(target).isNotNull() & ~F.isnan(target))
         .groupBy(target)
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("b", spec)
+        .select("*", spec.alias("b"))
         .select(F.least(guess, F.col("b.n_bins") - 1).cast("bigint").alias("bin"), "n")
         .groupBy("bin")
         .agg(F.sum("n").alias("n"))

@@ -38,33 +38,25 @@ def wilcoxon(diffs: DataFrame, by: list[str] | None = None) -> DataFrame:
     The windows hold the folds of one comparison, never data rows.
     """
     by = by or []
-    size = F.abs("d")
-    tied = W.partitionBy(*by, "metric", "_size")
+    side = [*by, "metric", "_counts"]
     ranked = (
-        diffs.where(F.col("d") != 0)
-        .withColumn("_size", size)
-        .withColumn("_ties", F.count(F.lit(1)).over(tied))
-        .withColumn("_rank", F.rank().over(W.partitionBy(*by, "metric").orderBy("_size")) + (F.col("_ties") - 1) / 2)
+        diffs.withColumn("_counts", F.col("d") != 0)
+        .withColumn("_size", F.abs("d"))
+        .withColumn("_ties", F.count(F.lit(1)).over(W.partitionBy(*side, "_size")))
+        .withColumn("_rank", F.rank().over(W.partitionBy(*side).orderBy("_size")) + (F.col("_ties") - 1) / 2)
     )
     sums = ranked.groupBy(*by, "metric").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col("d") > 0, F.col("_rank")).otherwise(0.0)).alias("_plus"),
-        F.sum(F.when(F.col("d") < 0, F.col("_rank")).otherwise(0.0)).alias("_minus"),
-        F.sum((F.col("_ties") ** 2 - 1).cast("double")).alias("_tie_term"),
+        F.count_if("_counts").alias("n"),
+        F.count_if(~F.col("_counts")).cast("double").alias("_zeros"),
+        F.expr("coalesce(sum(_rank) filter (where d > 0), 0D)").alias("_plus"),
+        F.expr("coalesce(sum(_rank) filter (where d < 0), 0D)").alias("_minus"),
+        F.expr("coalesce(sum(cast(_ties * _ties - 1 as double)) filter (where _counts), 0D)").alias("_tie_term"),
     )
-    totals = diffs.groupBy(*by, "metric").agg(
-        F.count(F.lit(1)).alias("_all")
-    )
-    out = totals.join(sums, [*by, "metric"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
-    return out.withColumn("w", F.least("_plus", "_minus")).select(
+    w = F.when(F.col("n") > 0, F.least("_plus", "_minus"))
+    return sums.withColumn("w", w).select(
         *by,
         "metric",
         "n",
         "w",
-        signed_rank_pvalue(
-            F.col("w"),
-            F.col("n").cast("double"),
-            (F.col("_all") - F.col("n")).cast("double"),
-            F.coalesce("_tie_term", F.lit(0.0)),
-        ).alias("p"),
+        signed_rank_pvalue("w", F.col("n").cast("double"), "_zeros", "_tie_term").alias("p"),
     )

@@ -8,7 +8,6 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodespark.functions import formula as fx
 from lodespark.operators import attribution, cases, cleaning, composition, distributions, metrics, significance
@@ -625,7 +624,7 @@ def _held_out(key: str, params: dict | None = None) -> Query:
     return run
 
 
-entry("f5_random_forest")(_held_out("rf", SMALL_FOREST))
+entry("f5_random_forest")(_held_out("rf"))
 entry("f6_boosted_trees")(_held_out("xgb", SMALL_BOOST))
 entry("f7_kernel_regression")(_held_out("svr"))
 entry("f8_neural_regression")(_held_out("mlp"))
