@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodespark.llm import decontamination, language_id, mixing, quality, simhash, token_counts, warc
+from lodespark.llm import decontamination, language_id, mixing, quality, resharding, simhash, token_counts, warc
 from lodespark.llm.common import held_out, learnable, table
 from lodespark.session import scratch_path
 
@@ -56,6 +56,21 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a layout by hash of the source, a hot shard and empty ones, to shards of equal size."""
+    docs = table(spark, sf_dir, "documents")
+    old_shard = F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(resharding.SHARDS))
+    return resharding.reshard(docs, old_shard).select(
+        "doc_id",
+        resharding.row_size(F.col("text")).alias("size"),
+        resharding.text_crc32(F.col("text")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
@@ -72,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
+    "op8_reshard": op8_reshard,
     "op10_warc_archive": op10_warc_archive,
 }
 
