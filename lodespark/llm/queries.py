@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodespark.llm import decontamination, language_id, mixing, quality, resharding, simhash, token_counts, warc
+from lodespark.llm import decontamination, language_id, mixing, neighbours, quality, resharding, simhash, token_counts, warc
 from lodespark.llm.common import held_out, learnable, table
 from lodespark.session import scratch_path
 
@@ -71,6 +71,10 @@ def op8_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
@@ -88,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
     "op8_reshard": op8_reshard,
+    "op9_neighbours": op9_neighbours,
     "op10_warc_archive": op10_warc_archive,
 }
 
