@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodespark.llm import decontamination, language_id, mixing, neighbours, quality, resharding, simhash, token_counts, warc
+from lodespark.llm import decontamination, language_id, license_scan, mixing, neighbours, quality, resharding, simhash, token_counts, warc
 from lodespark.llm.common import held_out, learnable, table
 from lodespark.session import scratch_path
 
@@ -23,6 +23,15 @@ def op1_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: their directory is source and language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return license_scan.scan(docs, path).select(
+        "doc_id", "path", "own_license", F.round("own_score", 6).alias("own_score"), "license_file", "license", "license_from"
+    )
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.learn(docs, table(spark, sf_dir, "labels"), learnable(F.col("doc_id")))
@@ -86,6 +95,7 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_language_filters": op1_language_filters,
+    "op2_license_scan": op2_license_scan,
     "op3_quality": op3_quality,
     "op4_source_mix": op4_source_mix,
     "op5_decontamination": op5_decontamination,
@@ -96,7 +106,68 @@ QUERIES: dict[str, Query] = {
     "op10_warc_archive": op10_warc_archive,
 }
 
+NOTICES = ", ".join(f"('{name}', '{notice}')" for name, notice in license_scan.TEMPLATES)
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": rf"""
+WITH files AS (
+    SELECT doc_id, text, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path,
+           regexp_extract(concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)), '^(.*)/[^/]*$', 1) AS dir
+    FROM documents
+), notices(license, notice) AS (VALUES {NOTICES}),
+template_terms AS (
+    SELECT license, token, count(*) AS tf
+    FROM (SELECT license, unnest(regexp_extract_all(lower(notice), '{license_scan.TOKEN}')) AS token FROM notices)
+    GROUP BY ALL
+), held AS (
+    SELECT token, count(*) AS df
+    FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '{license_scan.TOKEN}'))) AS token FROM files)
+    GROUP BY token
+), weights AS (
+    SELECT t.token, ln((1 + (SELECT count(*) FROM files)) / (1 + coalesce(df, 0))) + 1 AS idf
+    FROM (SELECT DISTINCT token FROM template_terms) t LEFT JOIN held USING (token)
+), templates AS (
+    SELECT license, token, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY license)) AS part
+    FROM template_terms JOIN weights USING (token)
+), units AS (
+    SELECT doc_id, path, false AS whole, unnest(list_distinct(list_filter(
+        regexp_split_to_array(text, '
+|
+|'), lambda x: regexp_matches(x, '{license_scan.CUE}')))) AS unit
+    FROM files WHERE regexp_matches(text, '{license_scan.CUE}')
+    UNION ALL
+    SELECT doc_id, path, true, text FROM files WHERE regexp_matches(text, '{license_scan.CUE}')
+), terms AS (
+    SELECT unit, token, count(*) AS tf
+    FROM (SELECT unit, unnest(regexp_extract_all(lower(unit), '{license_scan.TOKEN}')) AS token
+          FROM (SELECT DISTINCT unit FROM units))
+    GROUP BY ALL
+), weighed AS (
+    SELECT unit, token, tf * coalesce(idf, ln(1.0 + (SELECT count(*) FROM files)) + 1) AS weight
+    FROM terms LEFT JOIN weights USING (token)
+), lengths AS (SELECT unit, sqrt(sum(weight * weight)) AS length FROM weighed GROUP BY unit),
+cosines AS (
+    SELECT unit, license, round(sum(weight * part) / any_value(length), 9) AS cosine
+    FROM weighed JOIN templates USING (token) JOIN lengths USING (unit) GROUP BY unit, license
+), near AS (
+    SELECT doc_id, path, whole, license, cosine FROM units JOIN cosines USING (unit) WHERE cosine >= 0.5
+), own AS (
+    SELECT doc_id, arg_min(license, (-cosine, license)) AS own_license, max(cosine) AS own_score FROM near GROUP BY doc_id
+), file AS (
+    SELECT doc_id, path, arg_min(license, (-cosine, license)) AS license, max(cosine) AS cosine
+    FROM near WHERE whole GROUP BY doc_id, path
+), givers AS (
+    SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS name, arg_min(license, (-cosine, license)) AS given
+    FROM file GROUP BY name
+), inherited AS (
+    SELECT dir, arg_max(name, length(name)) AS name, arg_max(given, length(name)) AS given
+    FROM (SELECT DISTINCT dir FROM files) JOIN givers ON name = dir OR starts_with(dir, name || '/') OR name = ''
+    GROUP BY dir
+)
+SELECT f.doc_id, f.path, own_license, round(own_score, 6) AS own_score,
+       l.doc_id IS NOT NULL AS license_file, coalesce(own_license, given) AS license,
+       CASE WHEN own_license IS NULL THEN i.name END AS license_from
+FROM files f LEFT JOIN own o USING (doc_id) LEFT JOIN file l USING (doc_id) LEFT JOIN inherited i ON f.dir = i.dir""",
     "op4_source_mix": r"""
 WITH sized AS (
     SELECT doc_id, source, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS k,
