@@ -23,8 +23,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -272,3 +273,23 @@ def contaminated(
         part = docs.selectExpr("CAST(doc_id AS LONG) doc_id", "text").mapInArrow(look, SCHEMA)
         found = part if found is None else found.union(part)
     return found
+
+
+def decontaminated(
+    docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_rate: float = EDIT_RATE, block_chars: int = BLOCK_CHARS
+) -> DataFrame:
+    """Rows of ``docs`` that no item contaminates."""
+
+    def free_of(items: list[tuple[int, str | None]]) -> Column:
+        shipped = docs.sparkSession.sparkContext.broadcast(build_index(items, q, edit_rate))
+
+        @F.pandas_udf("boolean")
+        def clean(texts: pd.Series) -> pd.Series:
+            hit = {row for row, *_ in scan(shipped.value, [t or "" for t in texts])}
+            return pd.Series([row not in hit for row in range(len(texts))])
+
+        return clean("text")
+
+    for items in item_blocks(benchmark, block_chars):
+        docs = docs.filter(free_of(items))
+    return docs

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -213,3 +214,15 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
             )
 
     return docs.selectExpr("CAST(doc_id AS LONG) doc_id", "text").mapInArrow(predict, SCHEMA)
+
+
+def keep_determined(docs: DataFrame, model: LanguageFilter, least_score: float) -> DataFrame:
+    """Rows of ``docs`` whose text has a language with at least ``least_score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def determined(texts: pd.Series) -> pd.Series:
+        langs, score, _ = decide(shared.value, [t or "" for t in texts])
+        return pd.Series([lang != UNDETERMINED for lang in langs]) & pd.Series(score >= least_score)
+
+    return docs.filter(determined("text"))
