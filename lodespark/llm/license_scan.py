@@ -12,7 +12,8 @@ is no hot key there. Only DataFrame functions are used.
 
 Defined cases: null and empty texts have no license of their own; a null path is the file ``""`` in the root directory;
 rows with equal paths are scored row by row; where cosines tie, the first license by name counts, of a directory's
-license files too; an empty table gives no rows; extra columns are kept.
+license files too; an empty table gives no rows; columns named as the
+result's are replaced, other extra columns are kept.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from lodespark.session import bounded_broadcast, inline_table
 
 LEAST_COSINE = 0.5
 TOKEN = r"[a-z]+|[0-9]+(?:\.[0-9]+)*"
+RESULT = ("path", "own_license", "own_score", "license_file", "license", "license_from")
 CUE = r"(?i)licen[sc]e|copyright|spdx|public domain|all rights reserved"
 
 #: Names and usual notices of licenses.
@@ -131,7 +133,8 @@ def scan(files: DataFrame, path: Column) -> DataFrame:
 
     ``license`` is the own or the inherited one, ``license_from`` the directory that it is inherited from.
     """
-    rows = files.select("*", F.coalesce(path, F.lit("")).alias("path"))
+    kept = [F.col(f"`{c}`") for c in files.columns if c.lower() not in RESULT]
+    rows = files.select(*kept, F.coalesce(path, F.lit("")).alias("path"))
     cued = rows.filter(F.col("text").rlike(CUE)).select("path", "text")
     lines = F.filter(F.split("text", "\r\n|\n|\r"), lambda line: line.rlike(CUE))
     unit = F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))
@@ -139,53 +142,53 @@ def scan(files: DataFrame, path: Column) -> DataFrame:
     units = saved(
         cued.select(
             "path",
-            F.xxhash64("text").alias("text_hash"),
+            F.xxhash64("text").alias("__text"),
             F.explode(F.concat(each, F.array(unit))).alias("u"),
-        ).select("path", "text_hash", "u.whole", "u.unit"),
+        ).select("path", "__text", "u.whole", "u.unit"),
         "license-units",
     )
     found = units.join(unit_licenses(units, token_weights(rows)), "unit")
     own = saved(
-        found.groupBy("path", "text_hash")
+        found.groupBy("path", "__text")
         .agg(
             F.min(F.struct((-F.col("cosine")).alias("far"), "license")).alias("best"),
-            F.min(F.when(F.col("whole"), F.struct((-F.col("cosine")).alias("far"), "license"))).alias("file"),
+            F.min(F.when(F.col("whole"), F.struct((-F.col("cosine")).alias("far"), "license"))).alias("__file"),
         )
         .select(
             "path",
-            "text_hash",
+            "__text",
             F.col("best.license").alias("own_license"),
             (-F.col("best.far")).alias("own_score"),
-            "file",
+            "__file",
         ),
         "license-own",
     )
     givers = (
-        own.filter("file IS NOT NULL")
+        own.filter("__file IS NOT NULL")
         .groupBy(parent(F.col("path")).alias("name"))
-        .agg(F.min("file").alias("file"))
-        .select("name", F.col("file.license").alias("given"))
+        .agg(F.min("__file").alias("__file"))
+        .select("name", F.col("__file.license").alias("__given"))
     )
-    directories = rows.select(parent(F.col("path")).alias("directory")).distinct()
+    directories = rows.select(parent(F.col("path")).alias("__directory")).distinct()
     inherited = (
-        directories.select("directory", F.explode(ancestors(F.col("directory"))).alias("above"))
-        .select("directory", "above.name", "above.depth")
+        directories.select("__directory", F.explode(ancestors(F.col("__directory"))).alias("above"))
+        .select("__directory", "above.name", "above.depth")
         .join(givers, "name")
-        .groupBy("directory")
-        .agg(F.max(F.struct("depth", "name", "given")).alias("nearest"))
-        .select("directory", F.col("nearest.name").alias("from"), F.col("nearest.given").alias("given"))
+        .groupBy("__directory")
+        .agg(F.max(F.struct("depth", "name", "__given")).alias("nearest"))
+        .select("__directory", F.col("nearest.name").alias("__from"), F.col("nearest.__given").alias("__given"))
     )
     return (
-        rows.withColumns({"text_hash": F.xxhash64("text"), "directory": parent(F.col("path"))})
-        .join(own, ["path", "text_hash"], "left")
-        .join(bounded_broadcast(inherited), "directory", "left")
+        rows.withColumns({"__text": F.xxhash64("text"), "__directory": parent(F.col("path"))})
+        .join(own, ["path", "__text"], "left")
+        .join(bounded_broadcast(inherited), "__directory", "left")
         .select(
-            *[F.col(f"`{c}`") for c in files.columns],
+            *kept,
             "path",
             "own_license",
             "own_score",
-            F.col("file").isNotNull().alias("license_file"),
-            F.coalesce("own_license", "given").alias("license"),
-            F.when(F.col("own_license").isNull(), F.col("from")).alias("license_from"),
+            F.col("__file").isNotNull().alias("license_file"),
+            F.coalesce("own_license", "__given").alias("license"),
+            F.when(F.col("own_license").isNull(), F.col("__from")).alias("license_from"),
         )
     )

@@ -131,16 +131,16 @@ def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
     whole = mix(docs, weights, cap)
     inside = 2 * F.col("before") + F.col("size") < 2 * F.col("rest")
     cuts = whole.groupBy("source_key").agg(
-        F.max("epochs").alias("_epochs"),
-        F.max(F.when(inside, F.struct("key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id")))).alias("_last"),
+        F.max("epochs").alias("__epochs"),
+        F.max(F.when(inside, F.struct("key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id")))).alias("__last"),
     )
     place = F.struct(
         mix_key(F.col("doc_id")).alias("key"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id")
     )
-    copies = F.col("_epochs") + F.coalesce((place <= F.col("_last")).cast("long"), F.lit(0))
+    copies = F.col("__epochs") + F.coalesce((place <= F.col("__last")).cast("long"), F.lit(0))
     return (
-        docs.withColumn("_source", source_key(F.col("source")))
-        .join(bounded_broadcast(cuts.withColumnRenamed("source_key", "_source")), "_source")
-        .withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
+        docs.withColumn("__source", source_key(F.col("source")))
+        .join(bounded_broadcast(cuts.withColumnRenamed("source_key", "__source")), "__source")
+        .withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )

@@ -34,8 +34,8 @@ BUCKET_BYTES = 8 << 20
 
 LOWEST = -(1 << 63)
 CUT_SCHEMA = T.StructType(
-    [T.StructField("_old", T.IntegerType()), T.StructField("_shard", T.IntegerType())]
-    + [T.StructField(f"_{side}_{c}", T.LongType()) for side in ("lo", "hi") for c in ("key", "id", "crc")]
+    [T.StructField("__old", T.IntegerType()), T.StructField("__shard", T.IntegerType())]
+    + [T.StructField(f"__{side}_{c}", T.LongType()) for side in ("lo", "hi") for c in ("key", "id", "crc")]
 )
 
 
@@ -120,27 +120,27 @@ def _keys(docs: DataFrame, old_shard: Column) -> DataFrame:
     doc_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
     return docs.withColumns(
         {
-            "_old": old_shard.cast("int"),
-            "_key": F.shiftrightunsigned(F.xxhash64(F.lit("reshard"), doc_id, crc), 1),
-            "_id": doc_id,
-            "_crc": crc,
-            "_size": row_size(F.col("text")),
+            "__old": old_shard.cast("int"),
+            "__key": F.shiftrightunsigned(F.xxhash64(F.lit("reshard"), doc_id, crc), 1),
+            "__id": doc_id,
+            "__crc": crc,
+            "__size": row_size(F.col("text")),
         }
     )
 
 
 def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
-    top = F.shiftright("_key", 31)
-    return rows.withColumn("_bucket", F.shiftright(top * F.lit(buckets).cast("long"), 32))
+    top = F.shiftright("__key", 31)
+    return rows.withColumn("__bucket", F.shiftright(top * F.lit(buckets).cast("long"), 32))
 
 
 def _placed(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     """``rows`` with their new shard. There are at most as many cuts as old and new shards."""
     here, low, high = (
-        F.struct(*[F.col(f"_{side}{c}").alias(c) for c in ("key", "id", "crc")]) for side in ("", "lo_", "hi_")
+        F.struct(*[F.col(f"__{side}{c}").alias(c) for c in ("key", "id", "crc")]) for side in ("", "lo_", "hi_")
     )
-    inside = (rows._old == cuts._cut_old) & (here > low) & (here <= high)
-    return rows.join(F.broadcast(cuts), inside).drop(*[c for c in cuts.columns if c != "_shard"])
+    inside = (rows.__old == cuts.__cut_old) & (here > low) & (here <= high)
+    return rows.join(F.broadcast(cuts), inside).drop(*[c for c in cuts.columns if c != "__shard"])
 
 
 def plan_reshard(
@@ -148,29 +148,29 @@ def plan_reshard(
 ) -> Plan:
     """Solve the flow for ``docs`` (doc_id, text and what ``old_shard`` needs), whose old shards count from 0."""
     spark = docs.sparkSession
-    rows = saved(_keys(docs, old_shard).select("_old", "_key", "_id", "_crc", "_size"), "reshard-keys")
-    sizes = {r["_old"]: r["bytes"] for r in rows.groupBy("_old").agg(F.sum("_size").alias("bytes")).collect()}
+    rows = saved(_keys(docs, old_shard).select("__old", "__key", "__id", "__crc", "__size"), "reshard-keys")
+    sizes = {r["__old"]: r["bytes"] for r in rows.groupBy("__old").agg(F.sum("__size").alias("bytes")).collect()}
     supply = [sizes.get(i, 0) for i in range(max(sizes, default=-1) + 1)]
     total = sum(supply)
     flows = min_cost_flow(supply, capacities or even_capacities(total, shards), moving_cost(len(supply), shards))
     buckets = max(1, -(-total // BUCKET_BYTES))
 
     rows = _bucketed(rows, buckets)
-    in_front = Window.partitionBy("_old").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = rows.groupBy("_old", "_bucket").agg(F.sum("_size").alias("_bytes"))
+    in_front = Window.partitionBy("__old").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("__old", "__bucket").agg(F.sum("__size").alias("__bytes"))
     before = before.select(
-        "_old", "_bucket", F.coalesce(F.sum("_bytes").over(in_front), F.lit(0)).alias("_before")
+        "__old", "__bucket", F.coalesce(F.sum("__bytes").over(in_front), F.lit(0)).alias("__before")
     )
     inside = (
-        Window.partitionBy("_old", "_bucket")
-        .orderBy("_key", "_id", "_crc")
+        Window.partitionBy("__old", "__bucket")
+        .orderBy("__key", "__id", "__crc")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    middle = 2 * (F.col("_before") + F.col("_sum")) + F.col("_size")
+    middle = 2 * (F.col("__before") + F.col("__sum")) + F.col("__size")
     middles = (
-        rows.withColumn("_sum", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-        .join(before, ["_old", "_bucket"])
-        .withColumn("_middle", middle)
+        rows.withColumn("__sum", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
+        .join(before, ["__old", "__bucket"])
+        .withColumn("__middle", middle)
     )
 
     blocks = []
@@ -181,16 +181,16 @@ def plan_reshard(
             blocks.append((i, j, 2 * lo, 2 * (lo + flows[i, j])))
             lo += flows[i, j]
     schema = T.StructType(
-        [T.StructField("_cut_old", T.IntegerType()), T.StructField("_shard", T.IntegerType())]
-        + [T.StructField(c, T.LongType()) for c in ("_lo", "_hi")]
+        [T.StructField("__cut_old", T.IntegerType()), T.StructField("__shard", T.IntegerType())]
+        + [T.StructField(c, T.LongType()) for c in ("__lo", "__hi")]
     )
     ranges = inline_table(spark, schema, blocks or [(-1, 0, 0, 0)])
-    within = (F.col("_old") == F.col("_cut_old")) & (F.col("_middle") >= F.col("_lo")) & (F.col("_middle") < F.col("_hi"))
+    within = (F.col("__old") == F.col("__cut_old")) & (F.col("__middle") >= F.col("__lo")) & (F.col("__middle") < F.col("__hi"))
     lasts = {
-        (r["_old"], r["_shard"]): tuple(r["last"])
+        (r["__old"], r["__shard"]): tuple(r["last"])
         for r in middles.join(F.broadcast(ranges), within)
-        .groupBy("_old", "_shard")
-        .agg(F.max(F.struct("_key", "_id", "_crc")).alias("last"))
+        .groupBy("__old", "__shard")
+        .agg(F.max(F.struct("__key", "__id", "__crc")).alias("last"))
         .collect()
     }
     cuts, lowest = [], (LOWEST, LOWEST, LOWEST)
@@ -201,13 +201,13 @@ def plan_reshard(
             if last > low:
                 cuts.append((i, j, *low, *last))
                 low = last
-    names = ["_cut_old", *CUT_SCHEMA.names[1:]]
+    names = ["__cut_old", *CUT_SCHEMA.names[1:]]
     cut_rows = inline_table(spark, CUT_SCHEMA, cuts or [(-1, 0, *lowest, *lowest)]).toDF(*names)
 
-    groups = _placed(rows, cut_rows).groupBy("_shard", "_old", "_bucket").agg(F.count("*").alias("_rows"))
-    ahead = Window.partitionBy("_shard").orderBy("_old", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    groups = _placed(rows, cut_rows).groupBy("__shard", "__old", "__bucket").agg(F.count("*").alias("__rows"))
+    ahead = Window.partitionBy("__shard").orderBy("__old", "__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = groups.select(
-        "_shard", "_old", "_bucket", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_offset")
+        "__shard", "__old", "__bucket", F.coalesce(F.sum("__rows").over(ahead), F.lit(0)).alias("__offset")
     )
     return Plan(flows, cut_rows, saved(offsets, "reshard-offsets"), buckets, shards)
 
@@ -216,10 +216,10 @@ def place(docs: DataFrame, old_shard: Column, plan: Plan) -> DataFrame:
     """``docs`` with shard and slot of each row."""
     kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     rows = _placed(_bucketed(_keys(docs, old_shard), plan.buckets), plan.cuts)
-    inside = Window.partitionBy("_shard", "_old", "_bucket").orderBy("_key", "_id", "_crc")
-    slot = F.col("_offset") + F.row_number().over(inside) - 1
-    return rows.join(plan.offsets, ["_shard", "_old", "_bucket"]).select(
-        *[F.col(f"`{c}`") for c in kept], F.col("_shard").alias("shard"), slot.cast("long").alias("slot")
+    inside = Window.partitionBy("__shard", "__old", "__bucket").orderBy("__key", "__id", "__crc")
+    slot = F.col("__offset") + F.row_number().over(inside) - 1
+    return rows.join(plan.offsets, ["__shard", "__old", "__bucket"]).select(
+        *[F.col(f"`{c}`") for c in kept], F.col("__shard").alias("shard"), slot.cast("long").alias("slot")
     )
 
 
