@@ -24,7 +24,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 
 def sha1_base32(data: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1: each 5 hex digits of it are 4 letters."""
+    """Bare upper-case base32 of the SHA-1, null for null: each 5 hex digits of it are 4 letters."""
 
     def letters(group: Column) -> Column:
         value = F.conv(F.substring(F.sha1(data), group * 5 + F.lit(1), F.lit(5)), 16, 10).cast("int")
@@ -35,7 +35,7 @@ def sha1_base32(data: Column) -> Column:
             ]
         )
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), letters), "")
+    return F.when(data.isNotNull(), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), letters), ""))
 
 
 def http_head(n_bytes: Column) -> Column:
