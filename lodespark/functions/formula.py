@@ -16,6 +16,12 @@ ELEMENT = "[A-Z][a-z]*"
 FLAT_FORMULA = "^([A-Z][a-z]*([0-9]+([.][0-9]*)?|[.][0-9]+)?)+$"
 TOKEN = "[(\\[{]|[)\\]}][0-9.]*|[A-Z][a-z]*[0-9.]*"
 OPENING, CLOSING = "^[(\\[{]", "^[)\\]}]"
+# The symbols of all elements, by atomic number.
+SYMBOLS = (
+    "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb "
+    "Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te I Xe Cs Ba La Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu Hf Ta W Re Os Ir Pt Au "
+    "Hg Tl Pb Bi Po At Rn Fr Ra Ac Th Pa U Np Pu Am Cm Bk Cf Es Fm Md No Lr Rf Db Sg Bh Hs Mt Ds Rg Cn Nh Fl Mc Lv Ts Og"
+).split()
 # Amounts at or below this are dropped, so that Co0 leaves no cobalt behind.
 ZERO_AMOUNT = 1e-8
 
@@ -82,7 +88,8 @@ def _bracketed_parts(formula: str) -> str:
 def parse_parts(formula: str) -> str:
     """Composition of a formula: repeats summed, no amount means one, vanishing amounts dropped.
 
-    Plain formulas take the short path; only formulas with brackets are read with the stack.
+    A symbol that no element has makes the formula unreadable. Plain formulas take the short path; only formulas with
+    brackets are read with the stack.
     """
     raw = f"""case when t rlike {text(FLAT_FORMULA)} then {_flat_parts('t')}
                    when t rlike {text('[(\\[{]')} then {_bracketed_parts('t')} end"""
@@ -92,7 +99,8 @@ def parse_parts(formula: str) -> str:
         "array_distinct(transform(r, p -> p.el))",
         f"if(size(symbols) = size(r), r, transform(symbols, s -> {_entry('s', total)}))",
     )
-    whole = f"if(r is null or exists(r, p -> p.n is null), null, filter({merged}, p -> abs(p.n) > {ZERO_AMOUNT}D))"
+    unread = f"p -> p.n is null or not array_contains({texts(SYMBOLS)}, p.el)"
+    whole = f"if(r is null or exists(r, {unread}), null, filter({merged}, p -> abs(p.n) > {ZERO_AMOUNT}D))"
     return let("t", f"translate({formula}, ' ', '')", let("r", raw, whole))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodespark.functions.formula import mentions_any, name
 
-# Bohr magnetons per cubic angstrom to tesla: mu_B / 1e-30 * mu_0, about 11.654.
+# Bohr magnetons per cubic angstrom to tesla is mu_B / 1e-30 * mu_0, about 11.654.
 BOHR_MAGNETON = 9.274e-24
 CUBIC_ANGSTROM = 1e-30
 VACUUM_PERMEABILITY = 4 * math.pi * 1e-7
@@ -64,8 +64,9 @@ def cleaning_audit(df: DataFrame, composition: str = "composition") -> DataFrame
     counts = df.groupBy(composition).agg(
         F.count(F.lit(1)).alias("n"), F.count_if("is_magnetic").alias("n_magnetic")
     )
-    rare = F.expr(f"coalesce({mentions_any(name(composition), RARE_EARTHS)}, false)")
-    scarce = F.expr(f"coalesce({mentions_any(name(composition), NON_COMMERCIAL)}, false)")
+    # Null for a null composition, which the filters drop.
+    rare = F.expr(mentions_any(name(composition), RARE_EARTHS))
+    scarce = F.expr(mentions_any(name(composition), NON_COMMERCIAL))
     total = lambda name, col: F.coalesce(F.sum(col), F.lit(0)).cast("bigint").alias(name)
     wide = counts.agg(
         total("initial", F.col("n")),

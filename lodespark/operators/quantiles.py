@@ -19,8 +19,12 @@ _SHIFT = 1100 * BUCKETS_PER_OCTAVE
 
 
 def value_bucket(value: str) -> str:
-    """SQL for a bucket number that never decreases as the value grows (signed logarithmic bins)."""
-    size = f"floor(log2(abs({value})) * {BUCKETS_PER_OCTAVE}) + {_SHIFT}L"
+    """SQL for a bucket number that never decreases as the value grows (signed logarithmic bins).
+
+    Infinite values have the outermost bucket of their sign.
+    """
+    finite = f"floor(log2(abs({value})) * {BUCKETS_PER_OCTAVE}) + {_SHIFT}L"
+    size = f"if(abs({value}) = double('infinity'), {2 * _SHIFT}L, {finite})"
     return f"if({value} = 0, 0L, cast(signum({value}) as bigint) * ({size}))"
 
 

@@ -13,8 +13,19 @@ from lodespark.operators.metrics import METRICS
 def paired_differences(
     folds: DataFrame, a: str, b: str, metrics: list[str] = METRICS, by: list[str] | None = None
 ) -> DataFrame:
-    """Long (metric, fold, d) differences of two models over the folds both have."""
+    """Long (metric, fold, d) differences of two models.
+
+    Raises if a model is unknown, or if the two do not have equally many folds in each group of ``by``; ``folds`` has
+    a row per model and fold, so this is one small job.
+    """
     by = by or []
+    count = lambda m: F.count_if(F.col("model") == m)
+    sizes = folds.groupBy(*by).agg(count(a).alias("_a"), count(b).alias("_b")).collect()
+    for m, side in ((a, "_a"), (b, "_b")):
+        if not any(r[side] for r in sizes):
+            raise ValueError(f"no fold results of the model {m}")
+    if any(r["_a"] != r["_b"] for r in sizes):
+        raise ValueError(f"{a} and {b} differ in their number of folds")
     side = lambda m: F.max(F.when(F.col("model") == m, F.col("value")))
     long = folds.where(F.col("model").isin(a, b)).unpivot([*by, "model", "fold"], metrics, "metric", "value")
     paired = long.groupBy(*by, "metric", "fold").agg(side(a).alias("va"), side(b).alias("vb"))

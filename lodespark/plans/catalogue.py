@@ -112,12 +112,19 @@ def _flat(spark: SparkSession, sf: str) -> DataFrame:
     return documents.flatten_documents(_docs(spark, sf), ["k", "ln"])
 
 
+def _leaf(section: str, key: str) -> str:
+    """Checking SQL for a leaf: an object whose only key is value stands for that value."""
+    node = f"(doc->'$.properties.{section}.\"{key}\"')"
+    wrapped = f"json_type({node}) = 'OBJECT' and len(json_keys({node})) = 1 and json_keys({node})[1] = 'value'"
+    return f"case when {wrapped} then {node}->>'$.value' else {node}->>'$' end"
+
+
 # --- sources and sinks
 
 
 @entry(
     "a1_property_rows",
-    """select k, ln, nullif(doc->>'$.properties.chemistry."chemical formula".value', 'none') as formula,
+    f"""select k, ln, nullif({_leaf('chemistry', 'chemical formula')}, 'none') as formula,
        (doc->>'$.properties.crystal."compound space group".value')::int as space_group,
        (doc->>'$.properties.crystal."lattice parameters".value[0]')::double as lattice_a,
        (doc->>'$.properties.magnetics."saturation magnetization".value')::double as ms from good""",
@@ -158,29 +165,25 @@ _TC = "doc->'$.properties.magnetics.\"curie temperature\"'"
     ["good"],
 )
 def a3(spark, sf):
-    docs = documents.good_documents(
-        documents.parse_documents(fixture(spark, sf, "documents_json"), "doc", ["k", "ln", "doc"])
-    )
-    node = F.get_json_object("doc", "$.properties.magnetics['curie temperature']")
-    return docs.select("k", "ln", documents.unwrap(node).alias("value"))
+    rows = documents.flatten_documents(_docs(spark, sf), ["k", "ln"])
+    return rows.select("k", "ln", F.col("curie temperature").alias("value"))
 
 
 @entry(
     "a4_merge_sections",
     """select k, ln, len(list_distinct(list_concat(list_concat(json_keys(doc->'$.properties.chemistry'),
          json_keys(doc->'$.properties.crystal')), json_keys(doc->'$.properties.magnetics'))))::bigint as n_keys,
-       (doc->'$.properties.magnetics."magnetic order"')::varchar as magnetic_order from good""",
+       (case when list_contains(json_keys(doc->'$.properties.magnetics'), 'magnetic order')
+             then doc->'$.properties.magnetics."magnetic order"'
+             else doc->'$.properties.chemistry."magnetic order"' end)::varchar as magnetic_order from good""",
     ["good"],
 )
 def a4(spark, sf):
-    docs = documents.good_documents(
-        documents.parse_documents(fixture(spark, sf, "documents_json"), "doc", ["k", "ln", "doc"])
-    )
-    section = lambda s: F.from_json(F.get_json_object("doc", f"$.properties.{s}"), "map<string,string>")
-    merged = documents.merge_sections(*[section(s) for s in documents.SECTIONS])
-    rows = docs.select("k", "ln", F.explode(F.array(merged)).alias("m"))
-    return rows.select(
-        "k", "ln", F.size("m").cast("bigint").alias("n_keys"), F.element_at("m", "magnetic order").alias("magnetic_order")
+    return documents.merged_documents(_docs(spark, sf), ["k", "ln"]).select(
+        "k",
+        "ln",
+        F.size("leaves").cast("bigint").alias("n_keys"),
+        F.try_element_at("leaves", F.lit("magnetic order")).alias("magnetic_order"),
     )
 
 
@@ -199,7 +202,12 @@ def a5(spark, sf):
 )
 def a6(spark, sf):
     seen = _formulas(spark, sf).select(F.expr(f"explode({fx.symbol_tokens('formula')}) as symbol")).distinct()
-    elements = dimensions.sample_elements(spark)
+    # Written with another column order and more columns than the dimension has.
+    path = scratch_path(spark, "elements-csv")
+    sample = dimensions.sample_elements(spark)
+    columns = [F.lit(1).alias("atomic_number"), *reversed(sample.columns), F.lit("x").alias("remark")]
+    sample.select(*columns).write.option("header", True).csv(path)
+    elements = dimensions.read_elements(spark, path)
     return elements.join(seen, "symbol", "left_semi").select(
         "symbol",
         dimensions.electronegativity_value(F.col("electronegativity")).alias("en"),
@@ -234,7 +242,9 @@ def a7(spark, sf):
         .pivot("other", labels)
         .sum("l_quantity")
     )
-    return dimensions.symmetric_pairs(wide, "element")
+    path = scratch_path(spark, "pairs-csv")
+    wide.select(*labels[3:], "element", *labels[:3]).write.option("header", True).csv(path)
+    return dimensions.read_pair_matrix(spark, path)
 
 
 _FEATURE_TABLE = ("select * from feat", ["feat"])
@@ -253,9 +263,8 @@ def a8(spark, sf):
 
 @entry(
     "b1_null_literals",
-    """select k, ln, case when f not in ('none', 'None') then f end as formula, case when t not in ('none', 'None') then t end as tc
-       from (select k, ln, doc->>'$.properties.chemistry."chemical formula".value' as f,
-                    doc->>'$.properties.magnetics."curie temperature".value' as t from good)""",
+    f"""select k, ln, case when f not in ('none', 'None') then f end as formula, case when t not in ('none', 'None') then t end as tc
+       from (select k, ln, {_leaf('chemistry', 'chemical formula')} as f, {_leaf('magnetics', 'curie temperature')} as t from good)""",
     ["good"],
 )
 def b1(spark, sf):
@@ -265,7 +274,7 @@ def b1(spark, sf):
 
 @entry(
     "b2_retype",
-    """select k, ln, try_cast(doc->>'$.properties.magnetics."curie temperature".value' as double) as tc,
+    f"""select k, ln, try_cast({_leaf('magnetics', 'curie temperature')} as double) as tc,
        try_cast(doc->>'$.properties.crystal."compound space group".value' as int) as space_group from good""",
     ["good"],
     digits=["tc"],

@@ -27,35 +27,40 @@ from (select l_orderkey, l_linenumber, l_discount, l_tax,
 """
 
 EXPORTS = """
-select concat(case l_partkey % 7 when 0 then 'Fe' when 1 then 'Co' when 2 then 'Mn' when 3 then 'U'
+select case when l_orderkey % 89 <> 0 then
+         concat(case l_partkey % 7 when 0 then 'Fe' when 1 then 'Co' when 2 then 'Mn' when 3 then 'U'
                                  when 4 then 'Yb' when 5 then 'Y' else 'Ni' end,
-              cast(1 + l_partkey % 5 as {str}), 'O', cast(1 + l_suppkey % 4 as {str})) as composition,
+              cast(1 + l_partkey % 5 as {str}), 'O', cast(1 + l_suppkey % 4 as {str})) end as composition,
        case when l_orderkey % 61 = 0 then 'n/a' else cast(l_discount as {str}) end
            as total_magnetization_normalized_vol,
        l_returnflag <> 'N' as is_magnetic
 from lineitem
 """
 
-# Property documents. One in fifty orders is malformed (a bare leading-dot number), one line number carries the
-# text none as its formula, some name a key in two sections, some leaves hold more than a value.
+# Property documents. One in fifty orders is malformed (a bare leading-dot number), one in 53 has text after the
+# document, one line number carries the text none as its formula, one a leaf without wrapper, one a number where an
+# array is declared; some name a key in two sections or in the earlier one only, some leaves hold more than a value.
 DOCUMENTS = """
 select l_orderkey as k, l_linenumber as ln,
-       concat('{{"name":"doc","properties":{{"approach":{{"value":"theory"}},"chemistry":{{"chemical formula":{{"value":"',
-              case when l_linenumber = 1 then 'none' else concat('Fe', cast(1 + l_partkey % 5 as {str}), 'B1') end,
-              '"}}',
-              case when l_linenumber = 2 then ',"magnetic order":{{"value":"from chemistry"}}' else '' end,
+       concat('{{"name":"doc","properties":{{"approach":{{"value":"theory"}},"chemistry":{{"chemical formula":',
+              case when l_linenumber = 1 then '{{"value":"none"}}' when l_linenumber = 6 then '"Fe7B1"'
+                   else concat('{{"value":"Fe', cast(1 + l_partkey % 5 as {str}), 'B1"}}') end,
+              case when l_linenumber in (2, 5) then ',"magnetic order":{{"value":"from chemistry"}}' else '' end,
               '}},"crystal":{{"compound space group":{{"value":', cast(1 + l_suppkey % 230 as {str}),
-              '}},"lattice parameters":{{"value":[', cast(l_quantity as {str}), ',', cast(l_tax as {str}), ']}}}},',
+              '}},"lattice parameters":{{"value":',
+              case when l_linenumber = 7 then '3' else concat('[', cast(l_quantity as {str}), ',', cast(l_tax as {str}), ']') end,
+              '}}}},',
               '"magnetics":{{"saturation magnetization":{{"value":',
               case when l_orderkey % 50 = 0 then '.692' else cast(1 + l_linenumber as {str}) end,
-              '}},"magnetic order":{{"value":', case when l_partkey % 2 = 0 then 'null' else '"FM"' end,
+              case when l_linenumber = 5 then '' when l_partkey % 2 = 0 then '}},"magnetic order":{{"value":null'
+                   else '}},"magnetic order":{{"value":"FM"' end,
               '}},"magnetocrystalline anisotropy constants":{{"value":',
               case when l_partkey % 3 = 0 then 'null' when l_partkey % 3 = 1 then '[]'
                    else concat('[', cast(l_discount as {str}), ',0]') end,
               '}},"curie temperature":{{"value":',
               case l_suppkey % 4 when 0 then '"None"' when 1 then '"about 700"' else cast(l_quantity as {str}) end,
               case when l_suppkey % 3 = 0 then ',"unit":"K"' else '' end,
-              '}}}}}}}}') as doc
+              '}}}}}}}}', case when l_orderkey % 53 = 0 then ' trailing' else '' end) as doc
 from lineitem
 """
 

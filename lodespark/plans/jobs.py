@@ -12,7 +12,7 @@ from lodespark.operators.features import build_features
 from lodespark.operators.regressors import MODELS, fit_model, model_spec, predict
 from lodespark.operators.splits import align_features, feature_columns, holdout_split, union_all
 from lodespark.operators.tuning import cross_validate, grid_search
-from lodespark.sources.dimensions import known_symbols, read_elements, read_pair_matrix
+from lodespark.sources.dimensions import read_elements, read_pair_matrix
 from lodespark.sources.documents import load_property_rows
 from lodespark.sources.tabular import EXPORT_SCHEMA, read_table, write_table
 
@@ -20,9 +20,8 @@ FORMULA, TARGET = "chemical formula", "saturation magnetization"
 
 
 def load_dimensions(spark: SparkSession, elements_path: str, pairs_path: str) -> tuple[DataFrame, DataFrame]:
-    """The element table and the symmetric pair table, from CSV."""
-    elements = read_elements(spark, elements_path)
-    return elements, read_pair_matrix(spark, pairs_path, known_symbols(elements))
+    """The element table and the symmetric pair table, from CSV, by column name."""
+    return read_elements(spark, elements_path), read_pair_matrix(spark, pairs_path)
 
 
 def property_features(

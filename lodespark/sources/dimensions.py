@@ -71,9 +71,12 @@ def sample_pairs(spark: SparkSession) -> DataFrame:
 
 
 def read_elements(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Load the element dimension; the schema is declared, never inferred."""
-    reader = spark.read.schema(ELEMENT_SCHEMA)
-    return reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
+    """Load the element dimension by column name; order does not matter and other columns are left out."""
+    raw = spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.format(fmt).load(path)
+    missing = [n for n in ELEMENT_SCHEMA.names if n not in raw.columns]
+    if missing:
+        raise ValueError(f"the element table lacks the columns {', '.join(missing)}")
+    return raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in ELEMENT_SCHEMA])
 
 
 def electronegativity_value(text: Column) -> Column:
@@ -102,10 +105,22 @@ def symmetric_pairs(matrix: DataFrame, row_label: str) -> DataFrame:
     return cells.select(F.inline(both)).groupBy("a", "b").agg(F.sum("h").alias("h"))
 
 
-def read_pair_matrix(spark: SparkSession, path: str, symbols: list[str], row_label: str = "element") -> DataFrame:
-    """Load a wide CSV pair matrix (one row per element, one column per symbol) as a symmetric long table."""
-    fields = [T.StructField(row_label, T.StringType())] + [T.StructField(s, T.DoubleType()) for s in symbols]
-    wide = spark.read.schema(T.StructType(fields)).option("header", True).csv(path)
+def read_pair_matrix(spark: SparkSession, path: str, row_label: str = "element") -> DataFrame:
+    """Load a wide CSV pair matrix (one row per element, one column per symbol) as a symmetric long table.
+
+    Symbols come from the header, in any order. An element of the matrix must have both a row and a column; elements
+    that it does not have get no pairs.
+    """
+    raw = spark.read.option("header", True).csv(path)
+    if row_label not in raw.columns:
+        raise ValueError(f"the pair matrix lacks the column {row_label}")
+    symbols = [c for c in raw.columns if c != row_label]
+    # One row per element.
+    rows = [r[0] for r in raw.select(F.col(f"`{row_label}`")).collect()]
+    odd = sorted(set(symbols) ^ {str(r) for r in rows}) + sorted({r for r in rows if rows.count(r) > 1})
+    if odd:
+        raise ValueError(f"rows and columns of the pair matrix differ in {', '.join(odd)}")
+    wide = raw.select(f"`{row_label}`", *[F.col(f"`{c}`").try_cast("double").alias(c) for c in symbols])
     return symmetric_pairs(wide, row_label)
 
 

@@ -54,24 +54,13 @@ NULL_LITERALS = ["none", "None"]
 CORRUPT = "_corrupt_record"
 
 
-def _raw_type(kind: str) -> T.DataType:
-    return T.ArrayType(T.StringType()) if kind.startswith("array") else T.StringType()
+SECTION_TYPE = "map<string,string>"
 
 
-def document_schema(corrupt: bool = True) -> T.StructType:
-    """Declared document schema. Leaves are read as text, so an odd value never spoils its document."""
-
-    def leaf(kind: str) -> T.StructType:
-        return T.StructType([T.StructField("value", _raw_type(kind))])
-
-    sections = T.StructType(
-        [
-            T.StructField(name, T.StructType([T.StructField(key, leaf(kind)) for key, kind in keys.items()]))
-            for name, keys in SECTIONS.items()
-        ]
-    )
-    fields = [T.StructField("properties", sections)]
-    return T.StructType(fields + ([T.StructField(CORRUPT, T.StringType())] if corrupt else []))
+def document_schema() -> str:
+    """Declared document schema. A section is a map whose values stay JSON text, whatever shape they have."""
+    sections = ",".join(f"{name}:{SECTION_TYPE}" for name in SECTIONS)
+    return f"array<struct<properties:struct<{sections}>>>"
 
 
 def read_documents(spark: SparkSession, root: str) -> DataFrame:
@@ -91,11 +80,17 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
 
 
 def parse_documents(df: DataFrame, column: str = "doc", keep: list[str] | None = None) -> DataFrame:
-    """Parse documents held as JSON text; the same result shape as :func:`read_documents`."""
-    parsed = F.from_json(
-        F.col(column), document_schema(), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    """Parse documents held as JSON text; the same result shape as :func:`read_documents`.
+
+    The text is read as the only element of an array, so text after the document or a second document is malformed.
+    """
+    kept = keep or []
+    parsed = F.from_json(F.concat(F.lit("["), F.col(column), F.lit("]")), document_schema())
+    rows = df.select(*kept, F.col(column).alias("_text"), F.explode(F.array(parsed)).alias("_d"))
+    whole = F.coalesce(F.size("_d") == 1, F.lit(False))
+    return rows.select(
+        *kept, F.get("_d", F.lit(0))["properties"].alias("properties"), F.when(~whole, F.col("_text")).alias(CORRUPT)
     )
-    return df.select(*(keep or []), F.explode(F.array(parsed)).alias("_d")).select(*(keep or []), "_d.*")
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
@@ -129,12 +124,18 @@ def merge_sections(*sections: Column) -> Column:
     return reduce(laid_over, sections)
 
 
+def merged_documents(docs: DataFrame, keep: list[str] | None = None, out: str = "leaves") -> DataFrame:
+    """One map of all leaves per readable document; a later section wins on equal keys."""
+    empty = F.create_map().cast(SECTION_TYPE)
+    sections = [F.coalesce(F.col(f"properties.{name}"), empty) for name in SECTIONS]
+    return good_documents(docs).select(*(keep or []), F.explode(F.array(merge_sections(*sections))).alias(out))
+
+
 def flatten_documents(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """One flat row per readable document: 32 columns, value wrappers removed, everything still text."""
-    columns = [
-        F.col(f"properties.{section}.`{key}`.value").alias(key) for section, keys in SECTIONS.items() for key in keys
-    ]
-    return good_documents(docs).select(*(keep or []), *columns)
+    """One flat row per readable document: 32 columns, sections merged, value wrappers removed, everything still text."""
+    keys = [key for keys in SECTIONS.values() for key in keys]
+    leaves = [unwrap(F.try_element_at("_leaves", F.lit(key))).alias(key) for key in keys]
+    return merged_documents(docs, keep, "_leaves").select(*(keep or []), *leaves)
 
 
 def normalise_null_literals(df: DataFrame, literals: list[str] = NULL_LITERALS) -> DataFrame:
@@ -150,14 +151,18 @@ def normalise_null_literals(df: DataFrame, literals: list[str] = NULL_LITERALS)
 
 
 def retype(df: DataFrame) -> DataFrame:
-    """Cast the flat text columns to their declared types; what does not parse becomes null."""
+    """Cast the flat text columns to their declared types; what does not parse becomes null.
+
+    An array is null where the text is none; its numbers are null one by one.
+    """
     kinds = {key: kind for keys in SECTIONS.values() for key, kind in keys.items()}
 
     def typed(name: str) -> Column:
         col, kind = F.col(f"`{name}`"), kinds.get(name, "string")
-        if kind == "array<double>":
-            return F.transform(col, lambda v: v.try_cast("double")).alias(name)
-        return (col if kind in ("string", "array<string>") else col.try_cast(kind)).alias(name)
+        if kind.startswith("array"):
+            values = F.from_json(col, "array<string>")
+            return (F.transform(values, lambda v: v.try_cast("double")) if kind == "array<double>" else values).alias(name)
+        return (col if kind == "string" else col.try_cast(kind)).alias(name)
 
     return df.select(*[typed(c) for c in df.columns])
 

@@ -136,3 +136,8 @@ def test_symmetric_pairs(spark):
     wide = spark.createDataFrame([("A", None, 2.0), ("B", None, 5.0)], "element string, A double, B double")
     rows = {(r.a, r.b): r.h for r in dimensions.symmetric_pairs(wide, "element").collect()}
     assert rows == {("A", "A"): 0.0, ("A", "B"): 2.0, ("B", "A"): 2.0, ("B", "B"): 10.0}
+
+
+def test_unknown_symbols_make_a_formula_unreadable(spark):
+    rows = fx.with_parts(spark.createDataFrame([("XxFe",), ("FeCo2",), ("(FeQq)2",)], "formula string"))
+    assert [r.parts is None for r in rows.collect()] == [True, False, True]

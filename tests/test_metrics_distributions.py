@@ -92,3 +92,23 @@ def test_violin_rows_overlap(spark):
     quart = {r.grp: r.n for r in distributions.violin_quartiles(df).collect()}
     assert quart["all"] == len(names) and quart["Co"] == sum("Co" in n for n in names)
     assert distributions.long_groups(df).where("grp = 'Fe' and value is not null").count() == quart["Fe"]
+
+
+def test_unpaired_models_raise(spark):
+    from lodespark.operators.significance import paired_differences
+
+    folds = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), ("b", 1, 1.5)], "model string, fold int, mse double")
+    with pytest.raises(ValueError, match="number of folds"):
+        paired_differences(folds, "a", "b", ["mse"])
+    with pytest.raises(ValueError, match="model c"):
+        paired_differences(folds, "a", "c", ["mse"])
+
+
+def test_audit_counts_null_compositions_as_the_cleaning_does(spark):
+    from lodespark.operators.cleaning import clean_export, cleaning_audit
+
+    rows = spark.createDataFrame(
+        [(None, "1", True), ("Fe", "1", True)], "composition string, total_magnetization_normalized_vol string, is_magnetic boolean"
+    )
+    assert [r.n_rows for r in cleaning_audit(rows).orderBy("step_no").collect()] == [2, 2, 1, 1]
+    assert clean_export(rows).count() == 1

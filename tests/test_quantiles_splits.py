@@ -71,3 +71,9 @@ def test_alignment(spark):
     assert splits.align_features(train, test)[1].first().asDict() == {"formula": "b", "x": 8.0, "y": 9.0, "ms": 6.0}
     with pytest.raises(ValueError, match="x, y"):
         splits.align_features(train, test.drop("x", "y"))
+
+
+def test_infinite_values_have_a_place(spark):
+    rows = spark.createDataFrame([(float(v),) for v in ("-inf", 1, 2, 3, "inf")], "v double")
+    got = exact_quantiles(rows, [], "v", {"lo": 0.0, "mid": 0.5, "hi": 1.0}).first()
+    assert (got.lo, got.mid, got.hi) == (float("-inf"), 2.0, float("inf"))

@@ -167,3 +167,50 @@ def test_export_filter_reaches_the_scan(spark, tmp_path):
     plan = clean_export(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [" in plan and "EqualTo(is_magnetic,true)" in plan
     assert "ReadSchema" in plan and "unused" not in plan and "Exchange" not in plan
+
+
+def test_dimensions_are_read_by_name(spark, tmp_path):
+    (tmp_path / "elements.csv").write_text(
+        "atomic_number,valence,symbol,group_block,melting_point,period,atomic_weight,electronegativity,remark\n"
+        "26,8,Fe,Group 8,1811,4,55.8,1.83 (Pauling),x\n27,9,Co,Group 9,1768,4,58.9,1.88,y\n22,4,Ti,Group 4,1941,4,47.9,1.54,z\n"
+    )
+    (tmp_path / "pairs.csv").write_text("Fe,Co,element,Al\n,-1.5,Fe,-9\n,,Co,-7\n,,Al,\n")
+    elements, pairs = jobs.load_dimensions(spark, str(tmp_path / "elements.csv"), str(tmp_path / "pairs.csv"))
+    rows = {r.symbol: r for r in elements.collect()}
+    assert rows["Fe"].atomic_weight == 55.8 and rows["Fe"].valence == 8 and rows["Co"].electronegativity == "1.88"
+    found = {(r.a, r.b): r.h for r in pairs.collect()}
+    assert found["Fe", "Co"] == found["Co", "Fe"] == -1.5
+    assert found["Al", "Fe"] == -9 and found["Co", "Al"] == -7
+    # Ti is in the element table only: its pairs are absent, not zero.
+    assert not any("Ti" in pair for pair in found)
+
+
+@pytest.mark.parametrize("text", ["element,Fe\nFe,\nCo,1\n", "element,Fe,Co\nFe,1,\n", "x,Fe\nFe,1\n"])
+def test_incomplete_pair_matrix(spark, tmp_path, text):
+    (tmp_path / "pairs.csv").write_text(text)
+    with pytest.raises(ValueError):
+        dimensions.read_pair_matrix(spark, str(tmp_path / "pairs.csv"))
+
+
+def test_element_table_without_a_column(spark, tmp_path):
+    (tmp_path / "elements.csv").write_text("symbol,period\nFe,4\n")
+    with pytest.raises(ValueError, match="atomic_weight"):
+        dimensions.read_elements(spark, str(tmp_path / "elements.csv"))
+
+
+def test_document_shapes(spark):
+    texts = [
+        '{"properties":{"chemistry":{"chemical formula":"Fe3B1","magnetic order":{"value":"FM"}},"crystal":{"lattice angles":{"value":90}},'
+        '"magnetics":{"curie temperature":{"value":7,"unit":"K"},"remanence":1.5}}}',
+        '{"properties":{"chemistry":{"chemical formula":{"value":"Co"}}}}',
+        '{"properties":{}} trailing',
+        '{"properties":{}}{"properties":{}}',
+        '{"properties":{"magnetics":{"remanence":{"value":.5}}}}',
+        "",
+    ]
+    docs = documents.parse_documents(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, doc string"), "doc", ["i"])
+    assert [r.i for r in documents.quarantined_documents(docs).orderBy("i").collect()] == [2, 3, 4, 5]
+    rows = documents.retype(documents.flatten_documents(docs, ["i"])).orderBy("i").collect()
+    assert rows[0]["chemical formula"] == "Fe3B1" and rows[0]["magnetic order"] == "FM" and rows[0]["remanence"] == 1.5
+    assert rows[0]["lattice angles"] is None and rows[0]["curie temperature"] is None
+    assert rows[1]["chemical formula"] == "Co" and rows[1]["magnetic order"] is None
