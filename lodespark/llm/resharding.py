@@ -30,7 +30,7 @@ from lodespark.session import inline_table, scratch_path
 SHARDS = 40
 #: Bytes that a row costs beside its text.
 ROW_BYTES = 16
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 2 << 20
 
 LOWEST = -(1 << 63)
 CUT_SCHEMA = T.StructType(
