@@ -25,7 +25,7 @@ from lodespark.session import bounded_broadcast
 WEIGHTS = (5, 2, 1)
 CAP = 3
 #: Rows of a hash bucket over all sources; a source's prefix sums are taken inside one.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
