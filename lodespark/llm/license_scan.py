@@ -78,40 +78,44 @@ def token_weights(files: DataFrame) -> DataFrame:
 
 
 def unit_licenses(units: DataFrame, weights: DataFrame) -> DataFrame:
-    """(unit, license, cosine) of every distinct ``unit`` that is near enough to a template."""
-    spark = units.sparkSession
-    named = F.broadcast(weights.filter("token IS NOT NULL"))
-    other = F.broadcast(weights.filter("token IS NULL").select(F.col("idf").alias("other")))
-    templates = template_terms(spark).join(named, "token").withColumn("part", F.col("tf") * F.col("idf"))
+    """(id, license, cosine) of every different ``unit`` that is near enough to a template; ``id`` is its digest.
+
+    Units are dealt by id once; tokens, lengths and products are then summed where they are.
+    """
+    named = weights.filter("token IS NOT NULL")
+    other = weights.filter("token IS NULL").select(F.col("idf").alias("other"))
+    templates = template_terms(units.sparkSession).join(named, "token").withColumn("part", F.col("tf") * F.col("idf"))
     lengths = templates.groupBy("license").agg(F.sqrt(F.sum(F.col("part") * F.col("part"))).alias("length"))
-    templates = templates.join(lengths, "license").select(
-        "token", "license", (F.col("part") / F.col("length")).alias("part")
+    parts = (
+        templates.join(lengths, "license")
+        .groupBy("token", "idf")
+        .agg(F.map_from_entries(F.collect_list(F.struct("license", F.col("part") / F.col("length")))).alias("parts"))
     )
-    distinct = units.select("unit").distinct().withColumn("id", F.sha2("unit", 256))
+    # Both sides hold at most one row per token of the templates.
     terms = (
-        distinct.select("id", F.explode(tokens(F.col("unit"))).alias("token"))
+        units.select("id", "unit")
+        .dropDuplicates(["id"])
+        .select("id", F.explode(tokens(F.col("unit"))).alias("token"))
         .groupBy("id", "token")
         .agg(F.count("*").alias("tf"))
-        .join(named, "token", "left")
-        .join(other)
+        .join(F.broadcast(parts), "token", "left")
+        .join(F.broadcast(other))
         .withColumn("weight", F.col("tf") * F.coalesce("idf", "other"))
     )
-    lengths = terms.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
-    products = (
-        terms.join(F.broadcast(templates), "token")
-        .groupBy("id", "license")
-        .agg(F.sum(F.col("weight") * F.col("part")).alias("product"))
+    names = [name for name, _ in TEMPLATES]
+    product = lambda name: F.sum(F.col("weight") * F.coalesce(F.col("parts")[name], F.lit(0.0)))
+    summed = terms.groupBy("id").agg(
+        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"),
+        F.array(*[F.struct(product(name).alias("product"), F.lit(name).alias("license")) for name in names]).alias("near"),
     )
-    cosine = F.round(F.col("product") / F.col("length"), 9)
-    best = (
-        products.join(lengths, "id")
-        .withColumn("cosine", cosine)
-        .filter(F.col("cosine") >= LEAST_COSINE)
-        .groupBy("id")
-        .agg(F.min(F.struct((-F.col("cosine")).alias("far"), "license")).alias("best"))
+    cosines = F.transform(
+        "near", lambda x: F.struct((-F.round(x["product"] / F.col("length"), 9)).alias("far"), x["license"].alias("license"))
+    )
+    return (
+        summed.select("id", F.array_min(cosines).alias("best"))
+        .filter(F.col("best.far") <= -LEAST_COSINE)
         .select("id", F.col("best.license").alias("license"), (-F.col("best.far")).alias("cosine"))
     )
-    return distinct.join(best, "id").select("unit", "license", "cosine")
 
 
 def parent(path: Column) -> Column:
@@ -144,10 +148,11 @@ def scan(files: DataFrame, path: Column) -> DataFrame:
             "path",
             F.xxhash64("text").alias("__text"),
             F.explode(F.concat(each, F.array(unit))).alias("u"),
-        ).select("path", "__text", "u.whole", "u.unit"),
+        ).select("path", "__text", "u.whole", "u.unit", F.sha2("u.unit", 256).alias("id")),
         "license-units",
     )
-    found = units.join(unit_licenses(units, token_weights(rows)), "unit")
+    weights = saved(token_weights(rows), "license-weights")
+    found = units.drop("unit").join(unit_licenses(units, weights), "id")
     own = saved(
         found.groupBy("path", "__text")
         .agg(
