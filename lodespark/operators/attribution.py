@@ -5,6 +5,7 @@ from __future__ import annotations
 from math import factorial
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,24 +29,24 @@ def permutation_scores(
 ) -> DataFrame:
     """R2 lost by permuting one feature, for every (feature, repeat).
 
-    Each replica of the rows is ranked in its own hash order and takes the feature from the row with that rank in a
-    common order: an equi-join on ranks, and all replicas are scored in one pass.
+    In each repeat the rows are ranked in a hash order and meet the row with that rank in a common order: an
+    equi-join on ranks of narrow keys. The variants, one per feature, are made from the pair of rows in place, and all
+    are scored in one pass.
     """
-    rows = df.select(key, *features, target)
+    rows = df.select(key, *features, target).persist(StorageLevel.MEMORY_AND_DISK)
     donors = hash_rank(rows, key, F.lit(f"{seed}/donor")).select(
-        "_rank", *[F.col(f).alias(f"_donor_{f}") for f in features]
+        "_rank", F.array(*features).alias("_donor")
     )
-    slots = F.array(
-        *[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat")) for f in features for r in range(repeats)]
-    )
-    replicas = rows.select("*", F.explode(slots).alias("_slot")).select("*", "_slot.*").drop("_slot")
-    order = F.concat_ws("/", F.lit(str(seed)), "feature", F.col("repeat").cast("string"))
-    ranked = hash_rank(replicas, key, order, ["feature", "repeat"])
-    permuted = ranked.join(donors, "_rank").select(
+    copies = rows.select(key, F.explode(F.array(*[F.lit(r) for r in range(repeats)])).alias("repeat"))
+    order = F.concat_ws("/", F.lit(str(seed)), F.col("repeat").cast("string"))
+    orders = hash_rank(copies, key, order, ["repeat"]).select(key, "repeat", "_rank")
+    pairs = orders.join(donors, "_rank").join(rows, key)
+    slots = F.array(*[F.struct(F.lit(f).alias("feature"), F.get("_donor", F.lit(j)).alias("_other")) for j, f in enumerate(features)])
+    permuted = pairs.select("repeat", target, *features, F.inline(slots)).select(
         "feature",
         "repeat",
         target,
-        *[F.when(F.col("feature") == f, F.col(f"_donor_{f}")).otherwise(F.col(f)).alias(f) for f in features],
+        *[F.when(F.col("feature") == f, F.col("_other")).otherwise(F.col(f)).alias(f) for f in features],
     )
     original = rows.select(
         F.lit("").alias("feature"), F.lit(-1).alias("repeat"), target, *features
@@ -147,6 +148,22 @@ def shapley_values(
     )
 
 
+def linear_shapley_values(
+    model: Any, df: DataFrame, background: DataFrame, features: list[str], key: str = "formula"
+) -> DataFrame:
+    """Shapley values of a linear model against all rows of ``background``: ``w (x - mean(x))``, from one pass."""
+    means = background.agg(*[F.avg(f) for f in features]).first()
+    weights = [float(w) for w in model.fit.coefficients]
+    phi = [F.lit(w) * (F.col(f) - F.lit(float(m))) for f, w, m in zip(features, weights, means)]
+    base = model.fit.intercept + sum(w * float(m) for w, m in zip(weights, means))
+    return model.transform(df).select(
+        key,
+        F.lit(float(base)).alias("base_value"),
+        "prediction",
+        *[p.alias(f"phi_{f}") for f, p in zip(features, phi)],
+    )
+
+
 def shapley_summary(values: DataFrame, features: list[str]) -> DataFrame:
     """Mean absolute attribution per feature, largest first."""
     wide = values.agg(*[F.avg(F.abs(f"phi_{f}")).alias(f) for f in features])

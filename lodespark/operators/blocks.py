@@ -5,34 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodespark.session import sized
 
-# Most rows in one block, which bounds the memory of a pass.
-BLOCK_ROWS = 65_536
-
 
 def numeric_blocks(df: DataFrame, features: list[str], target: str) -> RDD:
-    """Blocks of rows ``[features..., target]`` as arrays, cached with spilling.
+    """Blocks of rows ``[features..., target]`` as arrays, cached with spilling; a block is one Arrow batch.
 
     A lost block is rebuilt from the rows. The caller unpersists.
     """
-    rows = sized(df).select(F.array(*[F.col(c).cast("double") for c in [*features, target]]).alias("r"))
-
-    def pack(part: Iterator) -> Iterator[np.ndarray]:
-        chunk: list = []
-        for row in part:
-            chunk.append(row[0])
-            if len(chunk) == BLOCK_ROWS:
-                yield np.array(chunk)
-                chunk = []
-        if chunk:
-            yield np.array(chunk)
-
-    return rows.rdd.mapPartitions(pack).persist(StorageLevel.MEMORY_AND_DISK)
+    columns = [*features, target]
+    rows = sized(df).select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            yield pa.RecordBatch.from_arrays([pa.array([block.tobytes()], pa.binary())], names=["block"])
+
+    def unpack(row) -> np.ndarray:
+        return np.frombuffer(row[0], dtype=float).reshape(-1, len(columns))
+
+    return rows.mapInArrow(pack, "block binary").rdd.map(unpack).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def sum_over(blocks: RDD, fn: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:

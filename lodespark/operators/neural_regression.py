@@ -1,7 +1,8 @@
 """Multi-layer perceptron regression, trained where the data lies.
 
-Every round each partition runs mini-batch Adam epochs from the shared weights on its own blocks; the weights and
-the optimizer's moments are then averaged, weighted by rows, through a tree. One job per round.
+Every step sums the gradient of one batch over all blocks, through a tree, and takes one Adam step with it; which
+batch a row is in depends on its values alone. So the model does not depend on how the rows are laid out, but for the
+order in which floats are added. One job per step: the number of steps is that of the settings, whatever the data.
 """
 
 from __future__ import annotations
@@ -13,12 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodespark.operators.blocks import numeric_blocks
+from lodespark.operators.blocks import numeric_blocks, sum_over
 
-BATCH = 200
-LOCAL_EPOCHS = 10
-# Training stops after this many rounds without an improvement of the loss by the tolerance.
-PATIENCE = 3
+# Batches an epoch is made of. With one, every step sees all rows.
+BATCHES = 1
+# Training stops after this many epochs without an improvement of the loss by the tolerance.
+PATIENCE = 10
 TOLERANCE = 1e-4
 VALIDATION_SHARE = 10
 
@@ -78,9 +79,18 @@ def loss_gradient(
     return loss, np.concatenate(grads[::-1])
 
 
+def penalty_gradient(theta: np.ndarray, shapes: list[tuple[int, int]]) -> np.ndarray:
+    """The weights with biases set to zero: gradient of half their sum of squares."""
+    out, at = theta.copy(), 0
+    for rows, cols in shapes:
+        out[at + rows * cols : at + (rows + 1) * cols] = 0.0
+        at += (rows + 1) * cols
+    return out
+
+
 @dataclass(frozen=True)
 class NeuralModel:
-    """Fitted network; inputs are raw features, standardised inside."""
+    """Fitted network; inputs are raw features, centred and scaled inside."""
 
     features: list[str]
     mean: np.ndarray
@@ -114,70 +124,68 @@ def fit_neural(
     max_iter: int = 1000,
     early_stopping: bool = False,
     seed: int = 0,
+    standardise: bool = True,
+    batches: int = BATCHES,
 ) -> NeuralModel:
     """Train until the loss stalls or ``max_iter`` epochs are done.
 
     ``early_stopping`` watches the error on a tenth of the rows, picked by hash, instead of the training loss.
+    ``standardise=False`` takes the inputs as they are. An epoch is ``batches`` steps.
     """
     p, hidden = len(features), tuple(hidden_layer_sizes)
     shapes = layer_shapes(p, hidden)
     row = df.agg(*[F.avg(c) for c in features], *[F.stddev_pop(c) for c in features], F.avg(target)).first()
     mean, scale = np.array(row[:p], float), np.array(row[p : 2 * p], float)
     scale[~(scale > 0)] = 1.0
+    if not standardise:
+        mean, scale = np.zeros(p), np.ones(p)
     theta = initial_weights(shapes, activation, seed)
     theta[-1] = float(row[-1])
     size = len(theta)
 
     held = F.pmod(F.xxhash64(*features), F.lit(VALIDATION_SHARE)) == 0
     train, valid = (df.where(~held), df.where(held)) if early_stopping else (df, None)
-    blocks = numeric_blocks(train, features, target)
+    batch = F.pmod(F.xxhash64(F.lit("batch"), *features, target), F.lit(batches)).cast("double")
+    blocks = numeric_blocks(train.withColumn("_batch", batch), ["_batch", *features], target)
     checks = numeric_blocks(valid, features, target) if valid is not None else None
 
-    def local_rounds(state: np.ndarray, round_no: int):
+    def gradient(weights: np.ndarray, wanted: int):
         def run(block: np.ndarray) -> np.ndarray:
-            x, y = (block[:, :-1] - mean) / scale, block[:, -1]
-            w, m, v = (state[i * size : (i + 1) * size].copy() for i in range(3))
-            t, lr = state[-1], learning_rate_init
-            order, last = np.random.default_rng([seed, round_no, len(y)]), 0.0
-            for _ in range(LOCAL_EPOCHS):
-                last = 0.0
-                at = order.permutation(len(y))
-                for i in range(0, len(y), BATCH):
-                    rows = at[i : i + BATCH]
-                    loss, g = loss_gradient(w, x[rows], y[rows], shapes, activation, alpha)
-                    t += 1
-                    m = 0.9 * m + 0.1 * g
-                    v = 0.999 * v + 0.001 * g * g
-                    w = w - lr * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-                    last += loss * len(rows)
-            n = float(len(y))
-            return np.concatenate([w * n, m * n, v * n, [t * n, last, n]])
+            rows = block[block[:, 0] == wanted]
+            if not len(rows):
+                return np.zeros(size + 2)
+            x, y = (rows[:, 1:-1] - mean) / scale, rows[:, -1]
+            # The penalty is the batch's, added once its rows are summed.
+            loss, g = loss_gradient(weights, x, y, shapes, activation, 0.0)
+            return np.concatenate([g, [loss, 1.0]]) * len(y)
 
         return run
 
     try:
-        state = np.concatenate([theta, np.zeros(2 * size), [0.0]])
+        m, v, t = np.zeros(size), np.zeros(size), 0
         best, stalled, best_theta = np.inf, 0, theta
-        for round_no in range(max(1, max_iter // LOCAL_EPOCHS)):
-            sums = blocks.treeAggregate(
-                np.zeros(3 * size + 3),
-                lambda acc, b, run=local_rounds(state, round_no): acc + run(b),
-                lambda a, b: a + b,
-                depth=2,
-            )
-            n = sums[-1]
-            if n == 0:
+        for _ in range(max_iter):
+            losses, seen = 0.0, 0.0
+            for wanted in range(batches):
+                sums = sum_over(blocks, gradient(theta, wanted), size + 2)
+                n = sums[-1]
+                if not n:
+                    continue
+                decay = penalty_gradient(theta, shapes)
+                g = (sums[:-2] + alpha * decay) / n
+                losses, seen = losses + sums[-2] + alpha * float(decay @ decay) / 2, seen + n
+                t += 1
+                m = 0.9 * m + 0.1 * g
+                v = 0.999 * v + 0.001 * g * g
+                theta = theta - learning_rate_init * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            if not seen:
                 break
-            state = sums[:-2] / n
-            score = sums[-2] / n
+            score = losses / seen
             if checks is not None:
-                score = _validation_error(checks, state[:size], shapes, activation, mean, scale, score)
-            if score < best - TOLERANCE:
-                stalled = 0
-            else:
-                stalled += 1
+                score = _validation_error(checks, theta, shapes, activation, mean, scale, score)
+            stalled = 0 if score < best - TOLERANCE else stalled + 1
             if score < best:
-                best, best_theta = score, state[:size].copy()
+                best, best_theta = score, theta
             if stalled >= PATIENCE:
                 break
     finally:

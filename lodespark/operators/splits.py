@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ def align_features(
     features = feature_columns(train, target, formula)
     missing = sorted(set(features) - set(test.columns))
     if missing:
-        raise ValueError(f"Test data missing features: {', '.join(missing)}")
+        raise ValueError(f"the test table lacks the features {', '.join(missing)}")
     keep = lambda df: [c for c in (formula,) if c in df.columns] + features + [target]
     return train.select(*keep(train)), test.select(*keep(test)), features
 
@@ -104,27 +105,38 @@ def fold_of_rank(rank: Column, n: Column, k: int) -> Column:
     )
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Ranking goes over its rows twice; kept, the plan behind them runs once. The cache is the caller's to clear."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def holdout_split(
     df: DataFrame, key: str = "formula", train_size: float = 0.8, seed: int = 0
 ) -> DataFrame:
     """Mark ``floor(train_size * n)`` rows as training, the rest as held out: column ``is_train``."""
-    ranked = hash_rank(df, key, F.lit(seed))
+    ranked = hash_rank(_kept(df), key, F.lit(seed))
     return ranked.withColumn("is_train", F.col("_rank") < F.floor(F.lit(train_size) * F.col("_n"))).drop("_rank", "_n")
 
 
 def kfold(df: DataFrame, k: int, key: str = "formula", seed: int | None = 0) -> DataFrame:
     """Add ``fold`` (1..k): shuffled by the seed, or contiguous in key order when the seed is None."""
-    ranked = ordered_rank(df, [key]) if seed is None else hash_rank(df, key, F.lit(seed))
+    ranked = ordered_rank(df, [key]) if seed is None else hash_rank(_kept(df), key, F.lit(seed))
     return ranked.withColumn("fold", fold_of_rank(F.col("_rank"), F.col("_n"), k)).drop("_rank", "_n")
 
 
 def repeated_kfold(df: DataFrame, k: int, seeds: list[int], key: str = "formula") -> DataFrame:
-    """One shuffled K-fold assignment for every seed: columns ``seed`` and ``fold``."""
+    """One shuffled K-fold assignment for every seed: columns ``seed`` and ``fold``.
+
+    Only keys are copied and ranked per seed; a row meets its folds in one join and is copied in place.
+    """
     if not seeds:
         raise ValueError("at least one seed is required")
-    copies = df.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
+    rows = _kept(df)
+    copies = rows.select(key, F.explode(F.array(*[F.lit(int(s)) for s in seeds])).alias("seed"))
     ranked = hash_rank(copies, key, F.col("seed"), ["seed"])
-    return ranked.withColumn("fold", fold_of_rank(F.col("_rank"), F.col("_n"), k)).drop("_rank", "_n")
+    fold = F.struct("seed", fold_of_rank(F.col("_rank"), F.col("_n"), k).alias("fold"))
+    folds = ranked.groupBy(key).agg(F.collect_list(fold).alias("_folds"))
+    return rows.join(folds, key).select(*df.columns, F.inline("_folds"))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

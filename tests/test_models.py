@@ -176,3 +176,28 @@ def test_shapley_adds_up_for_trees(data):
     assert attribution.shapley_summary(values, XS).count() == 3
     with pytest.raises(ValueError):
         attribution.shapley_values(model, df, [[0.0] * 13], [f"x{i}" for i in range(13)])
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_network_does_not_depend_on_the_layout(data, batches):
+    rows = data[0]
+    fits = [
+        neural_regression.fit_neural(
+            rows.repartition(n), XS, "ms", (16,), learning_rate_init=1e-2, max_iter=40, batches=batches
+        )
+        for n in (1, 4, 16)
+    ]
+    for other in fits[1:]:
+        assert np.abs(other.theta - fits[0].theta).max() < 1e-6
+
+
+def test_linear_shapley_is_the_exact_game(data):
+    """Against all training rows, the closed form equals the enumeration of coalitions."""
+    rows = data[0].withColumn("formula", F.monotonically_increasing_id().cast("string")).limit(30).persist()
+    model = fit_model("linear", rows, XS)
+    closed = {r.formula: r for r in attribution.linear_shapley_values(model, rows, rows, XS).collect()}
+    everything = [[float(v) for v in r] for r in rows.select(*XS).collect()]
+    for r in attribution.shapley_values(model, rows, everything, XS).collect():
+        assert r.base_value == pytest.approx(closed[r.formula].base_value)
+        for x in XS:
+            assert r[f"phi_{x}"] == pytest.approx(closed[r.formula][f"phi_{x}"], abs=1e-9)
