@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from operator import add
 from typing import Any
 
 from pyspark import inheritable_thread_target
@@ -12,6 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,12 +29,14 @@ from lodespark.operators.regressors import (
     model_spec,
     predict,
 )
-from lodespark.operators.splits import kfold, repeated_kfold
+from lodespark.operators.splits import fold_of_rank, kfold, ordered_rank, repeated_kfold
 from lodespark.session import inline_table, sized
 
 LINEAR_FAMILY = ("linear", "ridge", "lasso", "elasticnet")
 PARALLEL_FITS = 4
 SEARCH_FOLDS = 5
+# Keys that are ranked together when training sets are cut into inner folds.
+RANGE_ROWS = 50_000
 FOLD_SCHEMA = T.StructType(
     [
         T.StructField("seed", T.IntegerType()),
@@ -198,16 +203,75 @@ def linear_cv_predictions(
             spec = model_spec(key)
             fit = linear_path.solve(whole - moments[group], **_linear_settings(key, spec.defaults))
             rows.append((*[int(g) for g in group], spec.name, fit.intercept, *map(float, fit.coefficients)))
+    return _scored_by(folds, rows, by, features, target)
+
+
+def inner_folds(folds: DataFrame, k: int, key: str) -> DataFrame:
+    """Contiguous inner folds in key order of every training set at once: a row per (seed, fold left out) and key.
+
+    Adds ``outer``, the fold that is left out, and ``inner`` (1..k). Only keys are copied and ranked: inside
+    (seed, outer, range of keys), the ranges' counts give the offsets.
+    """
+    ranked = ordered_rank(folds.select(key).distinct(), [key])
+    span = F.floor(F.col("_rank") / F.lit(RANGE_ROWS)).alias("_range")
+    outers = [r[0] for r in folds.select("fold").distinct().orderBy("fold").collect()]
+    copies = (
+        folds.select(key, "seed", "fold")
+        .join(ranked.select(key, span), key)
+        .withColumn("outer", F.explode(F.array(*[F.lit(int(o)) for o in outers])))
+        .where("outer <> fold")
+    )
+    group = ["seed", "outer"]
+    sizes = copies.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    whole = W.partitionBy(*group)
+    before = whole.orderBy("_range").rowsBetween(W.unboundedPreceding, W.currentRow)
+    offsets = sizes.select(
+        *group, "_range", (F.sum("_size").over(before) - F.col("_size")).alias("_offset"), F.sum("_size").over(whole).alias("_n")
+    )
+    row = F.row_number().over(W.partitionBy(*group, "_range").orderBy(key))
+    return (
+        copies.withColumn("_row", row)
+        .join(offsets, [*group, "_range"])
+        .select(key, *group, fold_of_rank(F.col("_offset") + F.col("_row") - 1, F.col("_n"), k).alias("inner"))
+    )
+
+
+def tuned_linear_cv(
+    folds: DataFrame, features: list[str], target: str, keys: list[str], key: str, grids: dict[str, dict] | None = None
+) -> DataFrame:
+    """Held-out predictions of tuned linear models on every (seed, fold), as :func:`linear_cv_predictions` gives them.
+
+    Inner folds are ranked once and shared by all models; one pass of sums over them gives every search and fit.
+    """
+    inner = inner_folds(folds, SEARCH_FOLDS, key)
+    rows = inner.join(folds.drop("fold"), [key, "seed"])
+    moments = linear_path.moments_by(rows, features, target, ["seed", "outer", "inner"])
+    fits = []
+    for seed, outer in sorted({g[:2] for g in moments}):
+        mine = {g: m for g, m in moments.items() if g[:2] == (seed, outer)}
+        whole = reduce(add, mine.values())
+        for name in keys:
+            spec = model_spec(name)
+            settings = spec.settings((grids or {}).get(name))
+            errors = linear_path.cv_errors(mine, [_linear_settings(name, s) for s in settings])
+            best = settings[min(range(len(settings)), key=lambda i: sum(errors[i]))]
+            fit = linear_path.solve(whole, **_linear_settings(name, best))
+            fits.append((int(seed), int(outer), spec.name, fit.intercept, *map(float, fit.coefficients)))
+    return _scored_by(folds, fits, ["seed", "fold"], features, target)
+
+
+def _scored_by(folds: DataFrame, fits: list[tuple], by: list[str], features: list[str], target: str) -> DataFrame:
+    """Rows scored with the coefficients of their group: one broadcast row per model and fold."""
     schema = T.StructType(
         [T.StructField(b, T.IntegerType()) for b in by]
         + [T.StructField("model", T.StringType())]
         + [T.StructField(n, T.DoubleType()) for n in ["_b", *[f"_w{i}" for i in range(len(features))]]]
     )
-    fits = F.broadcast(inline_table(folds.sparkSession, schema, rows))
+    table = F.broadcast(inline_table(folds.sparkSession, schema, fits))
     yhat = F.col("_b")
     for i, f in enumerate(features):
         yhat = yhat + F.col(f"_w{i}") * F.col(f)
-    return folds.join(fits, by).select(*by, "model", F.col(target).alias("y"), yhat.alias("yhat"))
+    return folds.join(table, by).select(*by, "model", F.col(target).alias("y"), yhat.alias("yhat"))
 
 
 def cross_validate(
@@ -227,7 +291,7 @@ def cross_validate(
     """The four metrics of every model on every held-out fold of every seed: (seed, model, fold, ...).
 
     ``settings`` replaces a model's untuned settings; with ``tune`` they are searched inside each training set.
-    Untuned linear models share one pass.
+    Linear models share one pass, tuned or not.
     """
     specs = {m: model_spec(m) for m in keys}
     seeds = [0] if seeds is None else seeds
@@ -254,10 +318,12 @@ def cross_validate(
         return run
 
     shared = [m for m in keys if m in LINEAR_FAMILY and m not in given and not (tune and specs[m].grid)]
-    jobs = [job(m, s, f) for m in keys if m not in shared for s in seeds for f in range(1, k + 1)]
+    searched = [m for m in keys if m in LINEAR_FAMILY and tune and specs[m].grid]
+    jobs = [job(m, s, f) for m in keys if m not in shared + searched for s in seeds for f in range(1, k + 1)]
     rows = [r for part in _parallel(spark, jobs, parallelism) for r in part]
-    if shared:
-        scored = fold_metrics(linear_cv_predictions(folds, features, target, shared), ["seed", "model", "fold"])
+    linear = [linear_cv_predictions(folds, features, target, shared)] if shared else []
+    linear += [tuned_linear_cv(folds, features, target, searched, key, grids)] if searched else []
+    for scored in (fold_metrics(p, ["seed", "model", "fold"]) for p in linear):
         rows += [(r.seed, r.model, r.fold, *[float(r[x]) for x in METRICS]) for r in scored.collect()]
     folds.unpersist()
     # One row per seed, fold and model.

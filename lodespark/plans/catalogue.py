@@ -826,6 +826,38 @@ def g3_linear(spark, sf):
     return tuning.cross_validate(_kept(spark, sf), ["valencew"], ["linear"], 10, SEEDS)
 
 
+_TUNED = [
+    """cut as (select seed, formula, valencew as x, ms as y, ntile(10) over (partition by seed
+       order by md5(concat(formula, '#', seed)), formula)::int as fold from feat, unnest([0, 5]) as t(seed))""",
+    """training as (select seed, k, formula, x, y, ntile(5) over (partition by seed, k order by formula) as inner_fold
+       from cut, range(1, 11) t(k) where fold <> k)""",
+    """inner_sums as (select seed, k, i, avg(x) as mx, avg(y) as my, var_pop(x) as cxx, covar_pop(x, y) as cxy, count(*) as n
+       from training, range(1, 6) t(i) where inner_fold <> i group by seed, k, i)""",
+    "alphas as (select * from (values (0, 0.01::double), (1, 0.1::double), (2, 1.0::double), (3, 10.0::double), (4, 50.0::double)) a(point, alpha))",
+    """inner_errors as (select seed, k, i, point, alpha, avg((y - my - cxy / (cxx + alpha / n) * (x - mx)) ** 2) as mse
+       from training join inner_sums using (seed, k), alphas where inner_fold = i group by seed, k, i, point, alpha)""",
+    """chosen as (select seed, k, arg_min(alpha, mse) as alpha from
+       (select seed, k, alpha, avg(mse) as mse from inner_errors group by seed, k, alpha) group by seed, k)""",
+    """fits as (select seed, k, mx, my, cxy / (cxx + alpha / n) as w from chosen join
+       (select seed, k, avg(x) as mx, avg(y) as my, var_pop(x) as cxx, covar_pop(x, y) as cxy, count(*) as n
+        from training group by seed, k) using (seed, k))""",
+]
+
+
+@entry(
+    "g3_tuned_linear_cv",
+    """select seed, 'Ridge' as model, fold, avg((y - yhat) ** 2) as mse, avg(abs(y - yhat)) as mae,
+       avg(abs(y - yhat) / (abs(y) + 1e-8)) as mre, 1 - sum((y - yhat) ** 2) / (var_pop(y) * count(*)) as r2
+       from (select c.seed, c.fold, y, my + w * (x - mx) as yhat from cut c join fits f on f.seed = c.seed and f.k = c.fold)
+       group by seed, fold""",
+    ["feat"],
+    _TUNED,
+    metrics.METRICS,
+)
+def g3_tuned(spark, sf):
+    return tuning.cross_validate(_kept(spark, sf), ["valencew"], ["ridge"], 10, [0, 5], tune=True)
+
+
 @entry("g3_cross_validation")
 def g3_models(spark, sf):
     return tuning.cross_validate(

@@ -201,3 +201,18 @@ def test_linear_shapley_is_the_exact_game(data):
         assert r.base_value == pytest.approx(closed[r.formula].base_value)
         for x in XS:
             assert r[f"phi_{x}"] == pytest.approx(closed[r.formula][f"phi_{x}"], abs=1e-9)
+
+
+def test_tuned_linear_models_agree_with_one_search_each(data):
+    """Inner folds ranked once give what a grid search inside every training set gives."""
+    rows = data[0].select("formula", *XS, "ms")
+    got = tuning.cross_validate(rows, XS, ["ridge", "lasso"], 3, [0, 5], tune=True)
+    folds = tuning.repeated_kfold(rows, 3, [0, 5]).persist()
+    for r in got.collect():
+        key = {"Ridge": "ridge", "Lasso": "lasso"}[r.model]
+        mine = folds.where((F.col("seed") == r.seed))
+        train, valid = mine.where(F.col("fold") != r.fold), mine.where(F.col("fold") == r.fold)
+        best, _ = tuning.grid_search(key, train, XS)
+        model = fit_model(key, train, XS, params=best)
+        error = model.transform(valid).agg(F.avg((F.col("ms") - F.col("prediction")) ** 2)).first()[0]
+        assert r.mse == pytest.approx(error)
