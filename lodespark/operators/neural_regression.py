@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from lodespark.operators.blocks import numeric_blocks, sum_over
 
-# Batches an epoch is made of. With one, every step sees all rows.
+# Batches an epoch is made of, whatever the number of rows. With one, every step sees all rows.
 BATCHES = 1
 # Training stops after this many epochs without an improvement of the loss by the tolerance.
 PATIENCE = 10
-TOLERANCE = 1e-4
+TOLERANCE = 1e-5
 VALIDATION_SHARE = 10
 
 
