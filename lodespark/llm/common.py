@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodespark.session import scratch_path
 
 #: Characters that a task looks at together; longer texts are cut at white space and their parts summed.
-PACK_CHARS = 1 << 20
+PACK_CHARS = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -34,7 +34,7 @@ EDIT_RATE = 0.1
 #: Characters of benchmark items that are sent to the tasks at once.
 BLOCK_CHARS = 4_000_000
 #: Characters scanned together.
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 FILTER_BITS = 20
 
 SCHEMA = T.StructType(
