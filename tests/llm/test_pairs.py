@@ -55,7 +55,9 @@ def unsigned(fp):
     return fp % (1 << 64)
 
 
-def test_every_link_is_met(spark):
+@pytest.mark.parametrize("blocks", [simhash.NARROW, simhash.WIDE])
+@pytest.mark.parametrize("threshold", [3, 4])
+def test_every_link_is_met(spark, blocks, threshold):
     """Random fingerprints and copies with up to six flipped bits, many in each block."""
     rng = random.Random(5)
     prints = set()
@@ -63,23 +65,23 @@ def test_every_link_is_met(spark):
         base = rng.getrandbits(64)
         prints.add(base)
         for flips in (1, 2, 3, 4, 4, 4, 5, 6):
-            low, high = rng.choice([(0, 64), (0, 23), (23, 46), (46, 64), (0, 46)])
+            low, high = rng.choice([(0, 64), (0, 23), (23, 46), (46, 64), (0, 46), (0, 32), (32, 64)])
             bits = rng.sample(range(low, high), flips)
             prints.add(base ^ sum(1 << b for b in bits))
     prints = sorted(prints)
-    signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
-    frame = spark.createDataFrame(signed, "fp long")
-    got = {tuple(r) for r in simhash.cell_links(frame).collect()}
-    cells = {unsigned(r["fp"]): r["cell"] for r in frame.withColumn("cell", simhash.cell(F.col("fp"))).collect()}
+    frame = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
+    got = {tuple(r) for r in simhash.cell_links(frame, threshold, blocks).collect()}
+    node = simhash.node(F.col("fp"), blocks, threshold)
+    nodes = {unsigned(r["fp"]): r["node"] for r in frame.withColumn("node", node).collect()}
     want, close = set(), 0
     for i, a in enumerate(prints):
         for b in prints[i + 1 :]:
             apart = (a ^ b).bit_count()
-            if cells[a] == cells[b]:
-                assert apart <= 4
-            elif apart <= 4:
+            if nodes[a] == nodes[b]:
+                assert apart <= threshold
+            elif apart <= threshold:
                 close += 1
-                want.add((min(cells[a], cells[b]), max(cells[a], cells[b])))
+                want.add((min(nodes[a], nodes[b]), max(nodes[a], nodes[b])))
     assert close > 300 and got == want
 
 
