@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodespark.functions import formula as fx
 from lodespark.operators.quantiles import exact_quantiles
-from lodespark.session import bounded_broadcast
+from lodespark.session import BROADCAST_ROWS
 from lodespark.sources.dimensions import electronegativity_value, group_number, known_symbols
 
 # Feature names in the order of the output table.
@@ -41,6 +41,15 @@ def term_lookup(elements: DataFrame, pairs: DataFrame) -> DataFrame:
     return single.unionByName(pairs.where("a < b").select("a", "b", "h"), allowMissingColumns=True)
 
 
+def known_terms(elements: DataFrame, pairs: DataFrame) -> tuple[list[str], DataFrame]:
+    """Known symbols and the term lookup, hinted for broadcast if it is small enough: one job finds out both."""
+    lookup = term_lookup(elements, pairs)
+    seen = lookup.select("a", "b").limit(BROADCAST_ROWS + 1).collect()
+    if len(seen) > BROADCAST_ROWS:
+        return known_symbols(elements), lookup
+    return sorted({r.a for r in seen if r.a is not None and r.a == r.b}), F.broadcast(lookup)
+
+
 def composition_terms(fracs: str) -> str:
     """Weights of a composition: one term per element and one (4 x_a x_b) per unordered pair of elements."""
     term = lambda a, b, w: f"named_struct('a', {a}, 'b', {b}, 'w', {w})"
@@ -72,8 +81,8 @@ def featurise(
     """
     carry = [fx.name(c) for c in carry or []]
     key = fx.name(formula)
-    fracs = fx.fractions(fx.stoichiometry("parts", known_symbols(elements), amounts))
-    lookup = bounded_broadcast(term_lookup(elements, pairs))
+    symbols, lookup = known_terms(elements, pairs)
+    fracs = fx.fractions(fx.stoichiometry("parts", symbols, amounts))
     terms = (
         fx.with_parts(formulas.select(key, *carry), key)
         .selectExpr(
