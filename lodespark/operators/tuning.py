@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodespark.operators import linear_path
+from lodespark.operators.kernel_regression import kernel_cv_errors
 from lodespark.operators.metrics import METRICS, fold_metrics
 from lodespark.operators.regressors import (
     DEEPEST_TREE,
@@ -81,7 +82,7 @@ def grid_search(
     """Best settings by mean squared error over ``k`` contiguous folds, and the score of every grid point.
 
     Linear models are searched from one pass of sums per fold. Boosting is fitted once for the longest chain and
-    scored at every shorter length on the way.
+    scored at every shorter length on the way. Kernel regression takes the steps of all fits in the same passes.
     """
     spec = model_spec(key)
     settings = spec.settings(grid)
@@ -97,6 +98,9 @@ def grid_search(
         try:
             if key == "rf":
                 scores = _search_forest(folds, features, target, settings, k, seed, parallelism)
+            elif key == "svr":
+                errors = kernel_cv_errors(folds, features, target, settings, k)
+                scores = [sum(e) / len(e) for e in errors]
             elif key == "xgb":
                 scores = _search_boosted(folds, features, target, settings, k, seed, parallelism)
             else:

@@ -761,7 +761,7 @@ entry(
 )(_search("elasticnet"))
 
 
-def _search_grid(key: str, grid: dict[str, list]) -> Query:
+def _search_grid(key: str, grid: dict[str, list] | None = None) -> Query:
     return lambda spark, sf: tuning.grid_search(key, _kept(spark, sf), FEATURES, grid=grid)[1]
 
 
@@ -771,7 +771,7 @@ entry("f13_tune_forest")(
 entry("f14_tune_boosted")(
     _search_grid("xgb", {"n_estimators": [5, 10], "learning_rate": [0.1, 0.2], "max_depth": [3]})
 )
-entry("f15_tune_kernel")(_search_grid("svr", {"C": [1.0], "epsilon": [0.1], "kernel": ["rbf", "sigmoid"]}))
+entry("f15_tune_kernel")(_search_grid("svr"))
 entry("f16_tune_neural")(
     _search_grid("mlp", {"hidden_layer_sizes": [(100,)], "activation": ["relu", "tanh"], "max_iter": [200]})
 )

@@ -216,3 +216,17 @@ def test_tuned_linear_models_agree_with_one_search_each(data):
         model = fit_model(key, train, XS, params=best)
         error = model.transform(valid).agg(F.avg((F.col("ms") - F.col("prediction")) ** 2)).first()[0]
         assert r.mse == pytest.approx(error)
+
+
+def test_kernel_fits_in_common_passes_are_the_single_fits(data):
+    grid = {"C": [1.0, 10.0], "epsilon": [0.05], "kernel": ["rbf", "sigmoid"]}
+    rows = data[0].select("formula", *XS, "ms")
+    _, scores = tuning.grid_search("svr", rows, XS, k=3, grid=grid)
+    folds = tuning.kfold(rows, 3, "formula", None).persist()
+    for r in scores.collect():
+        errors = []
+        for f in (1, 2, 3):
+            model = fit_model("svr", folds.where(F.col("fold") != f), XS, params={"C": float(r.C), "epsilon": 0.05, "kernel": r.kernel})
+            error = (F.col("ms") - F.col("prediction")) ** 2
+            errors.append(model.transform(folds.where(F.col("fold") == f)).agg(F.avg(error)).first()[0])
+        assert r.mse == pytest.approx(np.mean(errors), rel=1e-3)
