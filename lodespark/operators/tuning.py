@@ -210,6 +210,21 @@ def linear_cv_predictions(
     return _scored_by(folds, rows, by, features, target)
 
 
+def linear_search_predictions(
+    key: str, df: DataFrame, features: list[str], target: str = "ms", order_key: str = "formula", k: int = SEARCH_FOLDS
+) -> DataFrame:
+    """Held-out predictions behind every score of a linear search: (fold, model, y, yhat), ``model`` the grid point."""
+    folds = kfold(df.select(order_key, *features, target), k, order_key, seed=None)
+    moments = linear_path.moments_by(folds, features, target, ["fold"])
+    whole = reduce(add, moments.values())
+    fits = []
+    for (fold,), held in sorted(moments.items()):
+        for point, setting in enumerate(model_spec(key).settings()):
+            fit = linear_path.solve(whole - held, **_linear_settings(key, setting))
+            fits.append((int(fold), str(point), fit.intercept, *map(float, fit.coefficients)))
+    return _scored_by(folds, fits, ["fold"], features, target)
+
+
 def inner_folds(folds: DataFrame, k: int, key: str) -> DataFrame:
     """Contiguous inner folds in key order of every training set at once: a row per (seed, fold left out) and key.
 

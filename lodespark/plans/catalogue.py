@@ -761,6 +761,28 @@ entry(
 )(_search("elasticnet"))
 
 
+def _search_agrees(key: str) -> Query:
+    """The search on all nine features: whether every score is the mean of the folds' errors, taken from held-out rows."""
+
+    def run(spark, sf):
+        table = _kept(spark, sf)
+        scores = tuning.grid_search(key, table, FEATURES)[1].select("point", "mse")
+        direct = tuning.linear_search_predictions(key, table, FEATURES)
+        error = (F.col("y") - F.col("yhat")) ** 2
+        by_fold = direct.groupBy("model", "fold").agg(F.avg(error).alias("mse"))
+        means = by_fold.groupBy(F.col("model").cast("bigint").alias("point")).agg(F.avg("mse").alias("direct"))
+        agrees = F.abs(F.col("mse") - F.col("direct")) < 1e-9 * F.greatest(F.col("direct"), F.lit(1.0))
+        return scores.join(means, "point").select("point", agrees.alias("agrees"))
+
+    return run
+
+
+for _name, _key in (("f10_tune_ridge_nine", "ridge"), ("f11_tune_lasso_nine", "lasso"), ("f12_tune_elasticnet_nine", "elasticnet")):
+    entry(_name, f"select i::bigint as point, true as agrees from range({len(MODELS[_key].settings())}) as t(i)")(
+        _search_agrees(_key)
+    )
+
+
 def _search_grid(key: str, grid: dict[str, list] | None = None) -> Query:
     return lambda spark, sf: tuning.grid_search(key, _kept(spark, sf), FEATURES, grid=grid)[1]
 
