@@ -111,8 +111,7 @@ def document_status(docs: DataFrame) -> DataFrame:
 
 def unwrap(node: Column) -> Column:
     """Replace a JSON object whose only key is ``value`` by that value; anything else stays as it is."""
-    keys = F.json_object_keys(node)
-    wrapped = (F.size(keys) == 1) & (F.get(keys, F.lit(0)) == "value")
+    wrapped = F.json_object_keys(node) == F.array(F.lit("value"))
     return F.when(wrapped, F.get_json_object(node, "$.value")).otherwise(node)
 
 
@@ -131,11 +130,19 @@ def merged_documents(docs: DataFrame, keep: list[str] | None = None, out: str =
     return good_documents(docs).select(*(keep or []), F.explode(F.array(merge_sections(*sections))).alias(out))
 
 
+def leaf(key: str) -> Column:
+    """The leaf that :func:`merged_documents` has under a key, looked up without building the map."""
+    found = F.lit(None).cast("string")
+    for name in SECTIONS:
+        section = F.col(f"properties.{name}")
+        found = F.when(F.map_contains_key(section, key), F.try_element_at(section, F.lit(key))).otherwise(found)
+    return found
+
+
 def flatten_documents(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One flat row per readable document: 32 columns, sections merged, value wrappers removed, everything still text."""
     keys = [key for keys in SECTIONS.values() for key in keys]
-    leaves = [unwrap(F.try_element_at("_leaves", F.lit(key))).alias(key) for key in keys]
-    return merged_documents(docs, keep, "_leaves").select(*(keep or []), *leaves)
+    return good_documents(docs).select(*(keep or []), *[unwrap(leaf(key)).alias(key) for key in keys])
 
 
 def normalise_null_literals(df: DataFrame, literals: list[str] = NULL_LITERALS) -> DataFrame:
