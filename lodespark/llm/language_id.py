@@ -217,12 +217,14 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
 
 
 def keep_determined(docs: DataFrame, model: LanguageFilter, least_score: float) -> DataFrame:
-    """Rows of ``docs`` whose text has a language with at least ``least_score``."""
+    """Rows of ``docs`` whose text has a language with at least ``least_score``; without any language, those with letters."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def determined(texts: pd.Series) -> pd.Series:
-        langs, score, _ = decide(shared.value, [t or "" for t in texts])
+        langs, score, n = decide(shared.value, [t or "" for t in texts])
+        if not shared.value.langs:
+            return pd.Series(n > 0)
         return pd.Series([lang != UNDETERMINED for lang in langs]) & pd.Series(score >= least_score)
 
     return docs.filter(determined("text"))

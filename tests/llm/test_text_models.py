@@ -1,10 +1,13 @@
 """Language filters, quality classifier and token counts."""
 
+import zlib
+
 import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from lodespark.llm import language_id, quality, token_counts
 from lodespark.llm.common import held_out, learnable, pieces, table
 from tests.llm.conftest import SF, prose
@@ -159,3 +162,12 @@ def test_parts_of_long_texts(monkeypatch):
         counter = token_counts.WordCounter(f.read())
     total = sum(n for b in token_counts._bundles([data]) for n in counter.counts([w for _, w in b]))
     assert total == len(Tokenizer.from_file(VOCABULARY).encode(data.decode(), add_special_tokens=False).ids)
+
+
+def test_lettered_texts_stay_without_any_language(spark):
+    schema = "doc_id long, text string, lang string"
+    fold = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 == 2][:3]
+    for lang, ids in ((None, range(3)), ("", range(3)), ("en", fold)):
+        rows = [(ids[0], "some clean words", lang), (ids[1], "12 34 ...", lang), (ids[2], None, lang)]
+        docs = spark.createDataFrame(rows, schema)
+        assert [r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs, "").collect()] == [ids[0]]
