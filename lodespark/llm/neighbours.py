@@ -2,8 +2,8 @@
 
 Vectors are projected by ``CURVES`` random rotations to a few dimensions, shifted, and put in Hilbert order of each.
 Each order is partitioned into ranges of about ``WINDOW * sqrt(n)`` vectors; the range ends come from a bounded sample.
-A query is compared with its own range and the two beside it, on one-byte codes of the vectors; the best of all windows
-merge, and are reranked with the exact distance of the original vectors.
+A query is compared with its own range and the two beside it, on the vectors less the fitted centre in double precision;
+the best of all windows merge, and are reranked with the exact distance of the original vectors.
 
 Equal vectors are indexed once and expanded at the end, each to its smallest ids, so a vector that many rows share is
 no hot range, and ties go to smaller ids. The index is fitted on at most about ``SAMPLE`` vectors, but holds them all.
@@ -38,8 +38,8 @@ SAMPLE = 40_000
 KEPT_EACH, KEPT = 2, 4
 SEED = 5
 
-INDEX_SCHEMA = "curve int, range int, id long, code binary, scale float"
-CANDIDATE_SCHEMA = "query_id long, id long, near float"
+INDEX_SCHEMA = "curve int, range int, id long, rest binary"
+CANDIDATE_SCHEMA = "query_id long, id long, near double"
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -175,9 +175,7 @@ def nearest(
                 own = _matrix(batch.column(1), dim)
                 if not len(own):
                     continue
-                scale = np.abs(own).max(axis=1) / 127
-                codes = np.rint(own / scale[:, None]).astype(np.int8)
-                code = pa.array([c.tobytes() for c in codes], pa.binary())
+                rest = pa.array([v.tobytes() for v in own - model.centre], pa.binary())
                 for curve in range(len(model.ends)):
                     at = model.ranges(own, curve)
                     for step in range(-beside, beside + 1):
@@ -186,10 +184,9 @@ def nearest(
                                 pa.array(np.full(len(at), curve, np.int32)),
                                 pa.array((at + step).astype(np.int32)),
                                 batch.column(0),
-                                code,
-                                pa.array(scale.astype(np.float32)),
+                                rest,
                             ],
-                            names=["curve", "range", "id", "code", "scale"],
+                            names=["curve", "range", "id", "rest"],
                         )
 
         return rows_of
@@ -198,20 +195,22 @@ def nearest(
     keep = KEPT_EACH * k
 
     def compare(base: pa.Table, asked: pa.Table) -> pa.Table:
-        empty = pa.Table.from_pylist([], pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("near", pa.float32())]))
+        empty = pa.Table.from_pylist([], pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("near", pa.float64())]))
         if not base.num_rows or not asked.num_rows:
             return empty
 
         def restored(table: pa.Table) -> np.ndarray:
-            codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.int8).reshape(-1, dim)
-            return codes.astype(np.float32) * table.column("scale").to_numpy()[:, None]
+            return _matrix(table.column("rest"), dim)
 
         b, ids = restored(base), base.column("id").to_numpy()
+        # Small numbers keep their differences: the range's own mean is taken off both sides.
+        middle = b.mean(axis=0)
+        b = b - middle
         b_size = (b * b).sum(axis=1)
         out = []
         for start in range(0, asked.num_rows, 1024):
             some = asked.slice(start, 1024)
-            q = restored(some)
+            q = restored(some) - middle
             far = b_size[None, :] - 2 * (q @ b.T) + (q * q).sum(axis=1)[:, None]
             best = np.argpartition(far, keep, axis=1)[:, :keep] if far.shape[1] > keep else np.tile(
                 np.arange(far.shape[1]), (len(q), 1)
@@ -221,7 +220,7 @@ def nearest(
                     {
                         "query_id": np.repeat(some.column("id").to_numpy(), best.shape[1]),
                         "id": ids[best.ravel()],
-                        "near": np.take_along_axis(far, best, axis=1).ravel().astype(np.float32),
+                        "near": np.take_along_axis(far, best, axis=1).ravel(),
                     }
                 )
             )

@@ -227,6 +227,21 @@ def test_recall(spark):
     assert hit / len(got) >= 0.9
 
 
+@pytest.mark.parametrize("jitter, offset", [(0.0003, 0.0), (0.02, 100.0)])
+def test_recall_of_near_copies_and_of_an_offset_component(spark, jitter, offset):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(2, 64)) / 8
+    matrix = centres[np.arange(1200) % 2] + rng.normal(size=(1200, 64)) * jitter
+    matrix[:, 0] += offset
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(matrix)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]) for r in neighbours.nearest(frame, F.col("id") % 40 == 0).collect()}
+    want = set()
+    for q in range(0, 1200, 40):
+        far = ((matrix - matrix[q]) ** 2).sum(axis=1)
+        want |= {(q, int(i)) for i in np.argsort(far) if i != q and far[i] <= np.sort(far)[10]}
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_hilbert_order_is_a_curve():
     """All cells once, neighbours differ by one step in one dimension."""
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
