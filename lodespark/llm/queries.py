@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodespark.llm import chat, decontamination, language_id, license_scan, merkle, mixing, neighbours, quality, resharding, simhash, token_counts, warc
+from lodespark.llm import chat, collocations, decontamination, language_id, license_scan, merkle, mixing, neighbours, quality, resharding, simhash, token_counts, warc
 from lodespark.llm.common import held_out, learnable, saved, table
 from lodespark.session import scratch_path
 
@@ -114,6 +114,10 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document proven; of about one in seven the leaf of a changed row is folded instead of its own."""
     docs = table(spark, sf_dir, "documents")
@@ -150,6 +154,7 @@ QUERIES: dict[str, Query] = {
     "op9_neighbours": op9_neighbours,
     "op10_warc_archive": op10_warc_archive,
     "op11_chat_format": op11_chat_format,
+    "op12_collocations": op12_collocations,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -262,4 +267,115 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id IS NOT DISTINCT FROM keeper THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
 FROM kept""",
+    "op11_chat_format": r"""
+WITH said AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL
+    SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'
+), shown AS (
+    SELECT *, len(regexp_replace(text, '([<\[])(\\*)(INST\]|/INST\]|ROLE |/ROLE\]|s>|/s>|<SYS>>|</SYS>>)', '\1\\\2\3', 'g'))
+              + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15
+                          ELSE 14 + 4 * ((octet_length(encode(role)) + 2) // 3) END AS shown
+    FROM said
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(shown)::BIGINT AS formatted_chars
+FROM shown GROUP BY conv_id""",
+    "op12_collocations": r"""
+WITH pieces AS (
+    SELECT lang, row_number() OVER () AS piece, regexp_extract_all(piece, '[^\x20\x09]+') AS words
+    FROM (SELECT coalesce(lang, 'und') AS lang,
+                 unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                        'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), sizes AS (SELECT lang, sum(len(words))::BIGINT AS n FROM pieces GROUP BY lang),
+places AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM pieces),
+counts AS (
+    SELECT lang, k, array_to_string(words[i : i + k - 1], ' ') AS phrase, count(*) AS f
+    FROM places, (SELECT unnest(range(1, 5)) AS k) WHERE i + k - 1 <= len(words)
+    GROUP BY ALL HAVING count(*) >= 30
+), cuts AS (
+    SELECT lang, phrase, k, f AS a, cut, string_split(phrase, ' ') AS w
+    FROM counts, LATERAL (SELECT unnest(range(1, k)) AS cut) WHERE k > 1
+), scores AS (
+    SELECT c.lang, c.phrase, c.a, cut, l.f AS l, r.f AS r, ((2000000::HUGEINT * a) // (l.f + r.f))::BIGINT AS score
+    FROM cuts c
+    JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(w[1 : cut], ' ')
+    JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(w[cut + 1 :], ' ')
+), worst AS (
+    SELECT lang, phrase, a, least.score AS score, least.l AS l, least.r AS r
+    FROM (SELECT lang, phrase, a, min({'score': score, 'cut': cut, 'l': l, 'r': r}) AS least FROM scores GROUP BY ALL)
+), covers AS (
+    SELECT lang, array_to_string(w[s : s + m - 1], ' ') AS phrase, max(f) AS longer
+    FROM (SELECT lang, k, f, string_split(phrase, ' ') AS w FROM counts WHERE k > 2),
+         (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS s)
+    WHERE m < k AND s + m - 1 <= k GROUP BY ALL
+), ranks AS (
+    SELECT w.*, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, encode(w.phrase)) AS rank
+    FROM worst w LEFT JOIN covers c USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranks JOIN sizes USING (lang) WHERE rank <= 2000""",
+    "op13_merkle_manifest": r"""
+WITH RECURSIVE parts AS (
+    SELECT doc_id, lang, n_chars,
+           concat(coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-'),
+                  coalesce(octet_length(encode(source)) || ':' || source, '-'),
+                  coalesce(octet_length(encode(lang)) || ':' || lang, '-')) AS head,
+           coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail
+    FROM documents
+), leaves AS (
+    SELECT doc_id, lang, head, tail, n_chars,
+           sha256(head || coalesce(len(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf
+    FROM parts
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves
+), lower(lang, level, place, node, n) AS (
+    SELECT lang, 0, place, leaf, count(*) OVER (PARTITION BY lang) FROM placed
+    UNION ALL
+    SELECT lang, level + 1, place // 2, sha256(string_agg(node, '' ORDER BY place)), (n + 1) // 2
+    FROM lower WHERE n > 1 GROUP BY lang, level, place // 2, n
+), subroots AS (
+    SELECT lang, node AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS place FROM lower WHERE n = 1
+), upper(level, place, node, n) AS (
+    SELECT 0, place, subroot, count(*) OVER () FROM subroots
+    UNION ALL
+    SELECT level + 1, place // 2, sha256(string_agg(node, '' ORDER BY place)), (n + 1) // 2
+    FROM upper WHERE n > 1 GROUP BY level, place // 2, n
+), heights AS (
+    SELECT lang, level, max(n) AS n FROM lower WHERE n > 1 GROUP BY lang, level
+), asked AS (
+    SELECT p.lang, p.doc_id, p.place AS leaf_at, h.level, (p.place // (1 << h.level)) AS own
+    FROM placed p JOIN heights h ON p.lang IS NOT DISTINCT FROM h.lang
+), steps AS (
+    SELECT a.lang, leaf_at, a.level, CASE WHEN own % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(s.node, '') AS step
+    FROM asked a LEFT JOIN lower s
+      ON s.lang IS NOT DISTINCT FROM a.lang AND s.level = a.level AND s.place = xor(own, 1)
+    UNION ALL
+    SELECT p.lang, p.place, 1000 + u.level,
+           CASE WHEN (t.place // (1 << u.level)) % 2 = 1 THEN 'L' ELSE 'R' END || coalesce(s.node, '')
+    FROM placed p JOIN subroots t ON p.lang IS NOT DISTINCT FROM t.lang
+    JOIN (SELECT DISTINCT level FROM upper WHERE n > 1) u ON true
+    LEFT JOIN upper s ON s.level = u.level AND s.place = xor(t.place // (1 << u.level), 1)
+), proofs AS (
+    SELECT lang, leaf_at, list(step ORDER BY level) AS steps, string_agg(step[2:], '' ORDER BY level) AS told FROM steps GROUP BY lang, leaf_at
+), crc_table AS (
+    SELECT i, list_reduce([i] || [8::BIGINT for x in range(8)], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+    FROM (SELECT unnest(range(256))::BIGINT AS i)
+), crc_list AS (SELECT list(v ORDER BY i) AS t FROM crc_table),
+checked AS (
+    SELECT p.*, xor(list_reduce([4294967295::BIGINT] || list_transform(range(1, len(p.doc_id::VARCHAR) + 1),
+               lambda k: ascii(substr(p.doc_id::VARCHAR, k, 1))::BIGINT),
+               lambda c, x: xor(c // 256, t[(xor(c, x) % 256 + 1)::BIGINT])), 4294967295) AS crc
+    FROM placed p, crc_list
+), folding AS (
+    SELECT doc_id, leaf, subroot, (SELECT node FROM upper WHERE n = 1) AS root, sha256(coalesce(told, '')) AS proof_sha256,
+           list_reduce([CASE WHEN crc % 7 = 0 THEN
+               sha256(head || coalesce(len((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) ELSE leaf END] || coalesce(steps, []),
+               lambda a, x: CASE WHEN x[1] = 'L' THEN sha256(x[2:] || a) ELSE sha256(a || x[2:]) END) AS folded_root
+    FROM checked c JOIN subroots s ON c.lang IS NOT DISTINCT FROM s.lang
+    LEFT JOIN proofs p ON p.lang IS NOT DISTINCT FROM c.lang AND p.leaf_at = c.place
+)
+SELECT *, folded_root = root AS verified FROM folding""",
 }
