@@ -124,11 +124,11 @@ def code_column(word: Column, clashing: list[str], mask: int) -> Column:
     return F.when(code == 0, F.lit(1).cast("long")).otherwise(code)
 
 
-def _seed(lang: str) -> np.uint64:
-    return np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 7))
+def _seed(lang: str) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 7)], dtype=np.uint64)
 
 
-def _chain(seed: np.ndarray | np.uint64, codes: np.ndarray) -> np.ndarray:
+def _chain(seed: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """The hash of a row of words from the hash of all but the last."""
     return mixed(seed * np.uint64(0x9E3779B97F4A7C15) + codes)
 
@@ -234,7 +234,7 @@ def _joined(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
 
 
 def _suffixes(
-    numbers: np.ndarray, codes: np.ndarray, seed: np.uint64, ahead: int, pairs: Bitmap, longest: int
+    numbers: np.ndarray, codes: np.ndarray, seed: np.ndarray, ahead: int, pairs: Bitmap, longest: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(windows by number with 0 behind their end, weights, hash of the leading pair), equal windows once."""
     padded = np.concatenate([numbers, np.zeros(longest, np.int64)])
@@ -374,7 +374,7 @@ def phrase_counts(
 
 def _hashed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seeds = np.array([_seed(lang) for lang in batch.column(0).to_pylist()], dtype=np.uint64)
+        seeds = np.concatenate([np.zeros(0, np.uint64), *map(_seed, batch.column(0).to_pylist())])
         codes = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         yield pa.RecordBatch.from_arrays([pa.array(_chain(seeds, codes).view(np.int64))], names=["hash"])
 

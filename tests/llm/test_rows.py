@@ -13,9 +13,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodespark.llm import decontamination, license_scan, mixing, queries, resharding, simhash, warc
+from lodespark.llm import decontamination, license_scan, mixing, near_copies, queries, resharding, warc
 from lodespark.llm.common import table
 from tests.llm.conftest import SF
+from tests.llm.test_near_copies import least_ids
 
 
 def filled(sizes, weights, cap=3):
@@ -234,15 +235,10 @@ def test_pipeline_against_brute_force(spark):
             assert rows.columns == docs.columns
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert len(staged["language_id"]) == len(texts)
-    prints = {i: simhash.fingerprint(t.encode()) for i, t in texts.items()}
-    groups = {}
-    for i in sorted(prints):
-        near = {groups[j] for j in groups if (prints[i] ^ prints[j]).bit_count() <= 4}
-        groups[i] = min(near, default=i)
-        groups.update({j: groups[i] for j in groups if groups[j] in near})
-    assert sorted(r["doc_id"] for r in staged["near_dedup"]) == sorted(set(groups.values()))
+    firsts = least_ids(texts, near_copies.SIMILARITY)
+    assert sorted(r["doc_id"] for r in staged["near_dedup"]) == firsts and len(firsts) < len(texts)
     items = [decontamination.normalised(r["text"]) for r in table(spark, SF, "benchmark").collect()]
-    clean = [i for i in sorted(set(groups.values())) if not any(x in decontamination.normalised(texts[i]) for x in items)]
+    clean = [i for i in firsts if not any(x in decontamination.normalised(texts[i]) for x in items)]
     assert sorted(r["doc_id"] for r in staged["decontamination"]) == clean
     assert Counter(r["doc_id"] for r in staged["sharding"]) == Counter(r["doc_id"] for r in staged["mixing"])
     assert {r["doc_id"] for r in staged["mixing"]} <= set(clean)
