@@ -25,6 +25,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*frames: DataFrame) -> None:
+    """Delete the files of :func:`saved` tables that no later step reads."""
+    for frame in frames:
+        folders = {path.rsplit("/", 1)[0] for path in frame.inputFiles()}
+        for folder in folders:
+            path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(frame.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that no model learns from; a null id is in neither fold and gives false."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
