@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from lodespark.operators.kernel_regression import fit_kernel
 from lodespark.operators.linear_path import LinearModel, fit_from_moments
 from lodespark.operators.neural_regression import fit_neural
+from lodespark.operators.tree_tables import CutTrees, cut_trees
+from lodespark.session import sized
 
 # Split candidates per feature for the tree models.
 TREE_BINS = 32
@@ -59,7 +61,7 @@ class ModelSpec:
 def _vector_fit(estimator: Any, df: DataFrame, features: list[str], target: str) -> VectorModel:
     assembler = VectorAssembler(inputCols=features, outputCol="_features")
     estimator = estimator.copy({estimator.featuresCol: "_features", estimator.labelCol: target})
-    rows = df.select(*features, target).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = sized(df.select(*features, target)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return VectorModel(features, Pipeline(stages=[assembler, estimator]).fit(rows))
     finally:
@@ -95,9 +97,23 @@ def fit_forest(
     n_estimators: int = 200,
     max_depth: int | None = 15,
     min_samples_leaf: int = 1,
-) -> VectorModel:
-    """Bootstrap forest in which every split considers all features."""
-    est = RandomForestRegressor(
+    min_samples_split: int = 2,
+    bootstrap: bool = True,
+) -> VectorModel | CutTrees:
+    """Forest in which every split considers all features; ``bootstrap=False`` takes all rows in every tree.
+
+    Nodes of fewer than ``min_samples_split`` drawn rows stay whole: Spark grows them, and the trees are cut there.
+    """
+    model = _vector_fit(forest(seed, n_estimators, max_depth, min_samples_leaf, bootstrap), df, features, target)
+    if min_samples_split <= max(2, min_samples_leaf):
+        return model
+    return cut_trees(model, df.sparkSession, True, None, min_samples_split)
+
+
+def forest(
+    seed: int, n_estimators: int, max_depth: int | None, min_samples_leaf: int, bootstrap: bool = True
+) -> RandomForestRegressor:
+    return RandomForestRegressor(
         numTrees=n_estimators,
         maxDepth=DEEPEST_TREE if max_depth is None else max_depth,
         minInstancesPerNode=min_samples_leaf,
@@ -105,9 +121,9 @@ def fit_forest(
         maxBins=TREE_BINS,
         maxMemoryInMB=TREE_MEMORY_MB,
         cacheNodeIds=True,
+        bootstrap=bootstrap,
         seed=seed,
     )
-    return _vector_fit(est, df, features, target)
 
 
 def boosted_trees(
@@ -146,7 +162,7 @@ def _fit_mlp(df: DataFrame, features: list[str], target: str, seed: int = 0, **p
 
 
 # Display names, untuned settings and search grids. Solver, selection and iteration axes share one
-# optimum and are left out, as is the smallest node to split, which Spark's trees lack.
+# optimum and are left out.
 MODELS: dict[str, ModelSpec] = {
     "linear": ModelSpec("Linear Regression", fit_linear, {}),
     "ridge": ModelSpec("Ridge", fit_ridge, {"alpha": 1.0}, {"alpha": [0.01, 0.1, 1.0, 10.0, 50.0]}),
@@ -160,8 +176,13 @@ MODELS: dict[str, ModelSpec] = {
     "rf": ModelSpec(
         "Random Forest",
         fit_forest,
-        {"n_estimators": 200, "max_depth": 15, "min_samples_leaf": 1},
-        {"n_estimators": [100, 200, 300], "max_depth": [None, 5, 10, 15], "min_samples_leaf": [1, 2, 4]},
+        {"n_estimators": 200, "max_depth": 15, "min_samples_leaf": 1, "min_samples_split": 2},
+        {
+            "n_estimators": [100, 200, 300],
+            "max_depth": [None, 5, 10, 15],
+            "min_samples_split": [2, 5, 10],
+            "min_samples_leaf": [1, 2, 4],
+        },
     ),
     "xgb": ModelSpec(
         "XGBoost",
@@ -213,7 +234,7 @@ MODELS: dict[str, ModelSpec] = {
 
 def model_spec(key: str) -> ModelSpec:
     if key not in MODELS:
-        raise ValueError(f"Unknown model key: {key}")
+        raise ValueError(f"no model is called {key!r}; there are {', '.join(MODELS)}")
     return MODELS[key]
 
 

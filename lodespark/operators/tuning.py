@@ -4,40 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
+from functools import partial, reduce
 from operator import add
 from typing import Any
 
+import numpy as np
 from pyspark import inheritable_thread_target
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodespark.operators import linear_path
-from lodespark.operators.kernel_regression import kernel_cv_errors
+from lodespark.operators.blocks import fold_sums, numeric_blocks, sum_over
+from lodespark.operators.kernel_regression import fit_kernels, kernel_cv_errors
+from lodespark.operators.ledger import Ledger
 from lodespark.operators.metrics import METRICS, fold_metrics
-from lodespark.operators.regressors import (
-    DEEPEST_TREE,
-    TREE_BINS,
-    TREE_MEMORY_MB,
-    fit_boosted,
-    fit_model,
-    model_spec,
-    predict,
-)
+from lodespark.operators.neural_regression import fit_networks, neural_cv_errors
+from lodespark.operators.regressors import fit_boosted, fit_forest, fit_model, model_spec, predict
 from lodespark.operators.splits import fold_of_rank, kfold, ordered_rank, repeated_kfold
+from lodespark.operators.tree_tables import TreeArrays, node_table
 from lodespark.session import inline_table, sized
 
 LINEAR_FAMILY = ("linear", "ridge", "lasso", "elasticnet")
+# Models whose fits on several training sets share their passes.
+STACKED = ("svr", "mlp")
 PARALLEL_FITS = 4
 SEARCH_FOLDS = 5
 # Keys that are ranked together when training sets are cut into inner folds.
 RANGE_ROWS = 50_000
+# Held-out rows that are scored by all cuts of a forest at once.
+SCORED_ROWS = 64
 FOLD_SCHEMA = T.StructType(
     [
         T.StructField("seed", T.IntegerType()),
@@ -81,8 +78,9 @@ def grid_search(
 ) -> tuple[dict, DataFrame]:
     """Best settings by mean squared error over ``k`` contiguous folds, and the score of every grid point.
 
-    Linear models are searched from one pass of sums per fold. Boosting is fitted once for the longest chain and
-    scored at every shorter length on the way. Kernel regression takes the steps of all fits in the same passes.
+    Linear models are searched from one pass of sums per fold. A forest is fitted once per smallest leaf and cut for the
+    other axes. Boosting is fitted once for the longest chain and scored at every shorter length on the way. Kernels and
+    networks take the steps of all fits in the same passes.
     """
     spec = model_spec(key)
     settings = spec.settings(grid)
@@ -104,7 +102,8 @@ def grid_search(
             elif key == "xgb":
                 scores = _search_boosted(folds, features, target, settings, k, seed, parallelism)
             else:
-                scores = _search_fits(key, folds, features, target, settings, k, seed, parallelism)
+                errors = neural_cv_errors(folds, features, target, settings, k, seed)
+                scores = [sum(e) / len(e) for e in errors]
         finally:
             folds.unpersist()
     best = settings[min(range(len(settings)), key=lambda i: scores[i])]
@@ -123,31 +122,50 @@ def _score_table(spark: SparkSession, settings: list[dict], scores: list[float])
 
 
 def _search_forest(folds, features, target, settings, k, seed, parallelism) -> list[float]:
-    data = VectorAssembler(inputCols=features, outputCol="_features").transform(
-        folds.withColumn("_fold", F.col("fold") - 1)
-    )
-    est = RandomForestRegressor(
-        featuresCol="_features",
-        labelCol=target,
-        featureSubsetStrategy="all",
-        maxBins=TREE_BINS,
-        maxMemoryInMB=TREE_MEMORY_MB,
-        cacheNodeIds=True,
-        seed=seed,
-    )
-    params = {"n_estimators": est.numTrees, "max_depth": est.maxDepth, "min_samples_leaf": est.minInstancesPerNode}
-    points = [
-        {params[n]: DEEPEST_TREE if v is None else v for n, v in s.items()} for s in settings
-    ]
-    search = CrossValidator(
-        estimator=est,
-        estimatorParamMaps=points,
-        evaluator=RegressionEvaluator(labelCol=target, metricName="mse"),
-        numFolds=k,
-        foldCol="_fold",
-        parallelism=parallelism,
-    )
-    return list(search.fit(data).avgMetrics)
+    """One fit per fold and smallest leaf scores all other points.
+
+    A shallower tree is the head of a deeper one, a forest of fewer trees the front of a larger one, and a node that
+    may not be split for its few rows is a cut. Each fit gives the squared errors of its points in one pass.
+    """
+    full = {**model_spec("rf").defaults, "min_samples_split": 2}
+    points = [{**full, **s} for s in settings]
+    leaves = sorted({p["min_samples_leaf"] for p in points})
+    blocks = numeric_blocks(folds, ["fold", *features], target)
+
+    def job(leaf: int, fold: int) -> Callable[[], dict[int, float]]:
+        mine = [i for i, p in enumerate(points) if p["min_samples_leaf"] == leaf]
+        sizes = sorted({points[i]["n_estimators"] for i in mine})
+        depths = list(dict.fromkeys(points[i]["max_depth"] for i in mine))
+        splits = sorted({points[i]["min_samples_split"] for i in mine})
+        deepest = None if None in depths else max(depths)
+
+        def run() -> dict[int, float]:
+            train = folds.where(F.col("fold") != fold)
+            model = fit_forest(train, features, target, seed, sizes[-1], deepest, leaf)
+            trees = TreeArrays.of(node_table(model, folds.sparkSession, True))
+
+            def squares(block: np.ndarray) -> np.ndarray:
+                rows = block[block[:, 0] == fold]
+                total = np.zeros((len(sizes), len(depths), len(splits)))
+                for at in range(0, len(rows), SCORED_ROWS):
+                    part = rows[at : at + SCORED_ROWS]
+                    values = trees.cut_values(part[:, 1:-1], depths, splits)
+                    for i, n in enumerate(sizes):
+                        total[i] += ((values[..., :n].mean(axis=-1) - part[:, -1]) ** 2).sum(axis=-1)
+                return np.append(total.ravel(), len(rows))
+
+            *total, n = sum_over(blocks, squares, len(sizes) * len(depths) * len(splits) + 1)
+            means = np.reshape(total, (len(sizes), len(depths), len(splits))) / max(n, 1.0)
+            at = lambda p: (sizes.index(p["n_estimators"]), depths.index(p["max_depth"]), splits.index(p["min_samples_split"]))
+            return {i: float(means[at(points[i])]) for i in mine}
+
+        return run
+
+    try:
+        found = _parallel(folds.sparkSession, [job(leaf, f) for leaf in leaves for f in range(1, k + 1)], parallelism)
+    finally:
+        blocks.unpersist()
+    return [sum(errors[i] for errors in found if i in errors) / k for i in range(len(points))]
 
 
 def _search_boosted(folds, features, target, settings, k, seed, parallelism) -> list[float]:
@@ -175,19 +193,6 @@ def _search_boosted(folds, features, target, settings, k, seed, parallelism) ->
     return totals
 
 
-def _search_fits(key, folds, features, target, settings, k, seed, parallelism) -> list[float]:
-    def job(s: dict, fold: int) -> Callable[[], float]:
-        def run() -> float:
-            model = fit_model(key, folds.where(F.col("fold") != fold), features, target, s, seed)
-            return _mse(model, folds.where(F.col("fold") == fold), target)
-
-        return run
-
-    jobs = [job(s, f) for s in settings for f in range(1, k + 1)]
-    errors = _parallel(folds.sparkSession, jobs, parallelism)
-    return [sum(errors[i * k : (i + 1) * k]) / k for i in range(len(settings))]
-
-
 def linear_cv_predictions(
     folds: DataFrame, features: list[str], target: str, keys: list[str], by_seed: bool = True
 ) -> DataFrame:
@@ -306,44 +311,75 @@ def cross_validate(
     settings: dict[str, dict] | None = None,
     shuffle: bool = True,
     parallelism: int = PARALLEL_FITS,
+    ledger: str | None = None,
 ) -> DataFrame:
     """The four metrics of every model on every held-out fold of every seed: (seed, model, fold, ...).
 
     ``settings`` replaces a model's untuned settings; with ``tune`` they are searched inside each training set.
-    Linear models share one pass, tuned or not.
+    Linear models share one pass, tuned or not; kernels and networks take the folds of a seed in the same passes. Rows
+    are appended to ``ledger``, a folder, as they are finished; a run that finds some there leaves their work out.
     """
     specs = {m: model_spec(m) for m in keys}
     seeds = [0] if seeds is None else seeds
     given = settings or {}
+    spark = df.sparkSession
+    finished = Ledger(spark, FOLD_SCHEMA, ledger)
+    planned = [(s, specs[m].name, f) for m in keys for s in seeds for f in range(1, k + 1)]
+    open_: dict[tuple[str, int], list[int]] = {}
+    by_name = {specs[m].name: m for m in keys}
+    for s, name, f in finished.left(planned, ["seed", "model", "fold"]):
+        open_.setdefault((by_name[name], s), []).append(f)
     base = df.select(key, *features, target)
     if shuffle:
         folds = repeated_kfold(base, k, seeds, key)
     else:
         folds = kfold(base, k, key, None).withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
     folds = folds.persist()
-    spark = df.sparkSession
+    searched = [m for m in keys if tune and specs[m].grid]
 
-    def job(m: str, seed: int, fold: int) -> Callable[[], list[tuple]]:
-        def run() -> list[tuple]:
+    def single(m: str, seed: int, fold: int) -> Callable[[], None]:
+        def run() -> None:
             mine = folds.where(F.col("seed") == seed)
             train, valid = mine.where(F.col("fold") != fold), mine.where(F.col("fold") == fold)
             params = given.get(m)
-            if tune and specs[m].grid:
+            if m in searched:
                 params, _ = grid_search(m, train, features, target, key, grid=(grids or {}).get(m), seed=seed)
             model = fit_model(m, train, features, target, params, seed)
             row = fold_metrics(predict(model, valid, specs[m].name, target), ["model"]).first()
-            return [] if row is None else [(seed, row.model, fold, *[float(row[x]) for x in METRICS])]
+            finished.add([] if row is None else [(seed, row.model, fold, *[float(row[x]) for x in METRICS])])
+
+        return run
+
+    def stacked(m: str, seed: int, outs: list[int]) -> Callable[[], None]:
+        def run() -> None:
+            rows = sized(folds.where(F.col("seed") == seed).withColumn("_fold", F.col("fold")))
+            point = [given.get(m, specs[m].defaults)]
+            fit = fit_kernels if m == "svr" else partial(fit_networks, seed=seed)
+            models = dict(zip(outs, (found[0] for found in fit(rows, features, target, point, outs))))
+            found = fold_sums(rows, features, target, models)
+            finished.add([(seed, specs[m].name, f, *[found[f][x] for x in METRICS]) for f in outs if f in found])
 
         return run
 
-    shared = [m for m in keys if m in LINEAR_FAMILY and m not in given and not (tune and specs[m].grid)]
-    searched = [m for m in keys if m in LINEAR_FAMILY and tune and specs[m].grid]
-    jobs = [job(m, s, f) for m in keys if m not in shared + searched for s in seeds for f in range(1, k + 1)]
-    rows = [r for part in _parallel(spark, jobs, parallelism) for r in part]
-    linear = [linear_cv_predictions(folds, features, target, shared)] if shared else []
-    linear += [tuned_linear_cv(folds, features, target, searched, key, grids)] if searched else []
-    for scored in (fold_metrics(p, ["seed", "model", "fold"]) for p in linear):
-        rows += [(r.seed, r.model, r.fold, *[float(r[x]) for x in METRICS]) for r in scored.collect()]
-    folds.unpersist()
+    jobs = []
+    for (m, seed), outs in open_.items():
+        if m in LINEAR_FAMILY and (m in searched or m not in given):
+            continue
+        if m in STACKED and m not in searched:
+            jobs.append(stacked(m, seed, outs))
+        else:
+            jobs += [single(m, seed, f) for f in outs]
+    try:
+        shared = [m for m in keys if m in LINEAR_FAMILY and m not in given and m not in searched and any(o[0] == m for o in open_)]
+        tuned = [m for m in keys if m in LINEAR_FAMILY and m in searched and any(o[0] == m for o in open_)]
+        linear = [linear_cv_predictions(folds, features, target, shared)] if shared else []
+        linear += [tuned_linear_cv(folds, features, target, tuned, key, grids)] if tuned else []
+        for scored in (fold_metrics(p, ["seed", "model", "fold"]) for p in linear):
+            rows = [(r.seed, r.model, r.fold, *[float(r[x]) for x in METRICS]) for r in scored.collect()]
+            finished.add([r for r in rows if r[2] in open_.get((by_name[r[1]], r[0]), [])])
+        _parallel(spark, jobs, parallelism)
+    finally:
+        folds.unpersist()
     # One row per seed, fold and model.
-    return inline_table(spark, FOLD_SCHEMA, rows)
+    wanted = inline_table(spark, T.StructType(FOLD_SCHEMA.fields[:3]), planned)
+    return finished.table().join(F.broadcast(wanted), ["seed", "model", "fold"], "left_semi").select(*FOLD_SCHEMA.names)

@@ -5,7 +5,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from lodespark.operators import attribution, linear_path, neural_regression, tuning
+from lodespark.operators import attribution, linear_path, neural_regression, regressors, tree_tables, tuning
 from lodespark.operators.regressors import MODELS, fit_model, model_spec
 
 XS = ["a", "b", "c"]
@@ -72,7 +72,7 @@ def test_linear_search_matches_refits(data):
 
 
 def test_unknown_models(data):
-    with pytest.raises(ValueError, match="Unknown model key"):
+    with pytest.raises(ValueError, match="no model is called"):
         model_spec("nope")
     with pytest.raises(ValueError):
         tuning.grid_search("linear", data[0], XS)
@@ -80,7 +80,7 @@ def test_unknown_models(data):
 
 def test_grids_hold_every_distinct_point():
     assert {k: len(m.settings()) for k, m in MODELS.items() if m.grid} == {
-        "ridge": 5, "lasso": 5, "elasticnet": 15, "rf": 36, "xgb": 729, "svr": 36, "mlp": 72,
+        "ridge": 5, "lasso": 5, "elasticnet": 15, "rf": 108, "xgb": 729, "svr": 36, "mlp": 72,
     }
 
 
@@ -145,6 +145,89 @@ def test_cross_validation_shapes(data):
     assert sorted(r.fold for r in plain) == [1, 2, 3, 4]
 
 
+def test_forest_cuts_are_fits(data, spark):
+    """A tree cut at a depth is the tree grown to it; a node of few rows ends the path; fewer trees are the first ones."""
+    df, pdf = data
+    deep = regressors.fit_forest(df, XS, "ms", n_estimators=6, max_depth=None, min_samples_leaf=2)
+    nodes = tree_tables.node_table(deep, spark, True).persist()
+    trees = tree_tables.TreeArrays.of(nodes)
+    x = pdf[XS].to_numpy(float)
+    values = trees.cut_values(x, [None, 1, 4], [2, 9])
+    for i, depth in ((1, 1), (2, 4)):
+        short = regressors.fit_forest(df, XS, "ms", n_estimators=6, max_depth=depth, min_samples_leaf=2)
+        got = {r.formula: r.prediction for r in short.transform(df).collect()}
+        assert [got[f] for f in pdf.formula] == pytest.approx(values[i, 0].mean(axis=1), abs=1e-12)
+    table = {(r.tree, r.node): r for r in nodes.collect()}
+    for row in range(0, 240, 17):
+        for t in range(6):
+            at, depth = table[t, 0], 0
+            while at.feature is not None and at.rows >= 9 and depth < 4:
+                at, depth = table[t, at.left if x[row, at.feature] <= at.threshold else at.right], depth + 1
+            assert values[2, 1, row, t] == at.value
+    cut = regressors.fit_forest(df, XS, "ms", n_estimators=6, max_depth=None, min_samples_leaf=2, min_samples_split=9)
+    got = {r.formula: r.prediction for r in cut.transform(df).collect()}
+    assert [got[f] for f in pdf.formula] == pytest.approx(values[0, 1].mean(axis=1), abs=1e-12)
+    joined = tree_tables.score_by_joins(nodes, df, XS, ["formula"])
+    by_join = {r.formula: r.prediction for r in joined.collect()}
+    assert [by_join[f] for f in pdf.formula] == pytest.approx(values[0, 0].mean(axis=1), abs=1e-12)
+
+
+def test_forest_search_scores_every_point(data):
+    """Depths and nodes exactly as separate fits of as many trees; forest sizes within sampling error."""
+    df, _ = data
+    grid = {"n_estimators": [4, 12], "max_depth": [None, 3], "min_samples_split": [2, 8], "min_samples_leaf": [1, 4]}
+    _, scores = tuning.grid_search("rf", df, XS, k=2, grid=grid)
+    got = {(r.n_estimators, r.max_depth, r.min_samples_split, r.min_samples_leaf): r.mse for r in scores.collect()}
+    assert len(got) == 16
+    folds = tuning.kfold(df.select("formula", *XS, "ms"), 2, "formula", seed=None).persist()
+
+    def alone(**setting):
+        fits = [(fit_model("rf", folds.where(F.col("fold") != f), XS, params=setting), folds.where(F.col("fold") == f)) for f in (1, 2)]
+        return np.mean([tuning._mse(m, v, "ms") for m, v in fits])
+
+    assert got["12", "3", "8", "4"] == pytest.approx(alone(n_estimators=12, max_depth=3, min_samples_split=8, min_samples_leaf=4))
+    assert got["12", "None", "2", "1"] == pytest.approx(alone(n_estimators=12, max_depth=None, min_samples_split=2, min_samples_leaf=1))
+    fewer = alone(n_estimators=4, max_depth=3, min_samples_split=2, min_samples_leaf=4)
+    assert got["4", "3", "2", "4"] == pytest.approx(fewer, rel=0.5)
+
+
+def test_split_checks_find_a_wrong_tree(data, spark):
+    df, _ = data
+    model = regressors.fit_forest(df, XS, "ms", n_estimators=1, max_depth=4, bootstrap=False)
+    nodes = tree_tables.node_table(model, spark, True).persist()
+    good = tree_tables.split_checks(nodes, df, XS, "ms", "formula").first()
+    assert (good.best_split, good.means, good.sizes) == (True, True, True)
+    worse = nodes.withColumn("feature", F.when(F.col("node") == 0, (F.col("feature") + 1) % 3).otherwise(F.col("feature")))
+    worse = worse.withColumn("threshold", F.when(F.col("node") == 0, 0.01).otherwise(F.col("threshold"))).persist()
+    bad = tree_tables.split_checks(worse, df, XS, "ms", "formula").first()
+    assert not bad.best_split and not bad.means and not bad.sizes
+
+
+def test_a_stopped_evaluation_goes_on(data, spark, tmp_path, monkeypatch):
+    """Finished rows are read from the ledger; only what is left is fitted; the result is that of one run."""
+    df, _ = data
+    fast = {"rf": {"n_estimators": 3, "max_depth": 3}, "mlp": {"hidden_layer_sizes": (4,), "max_iter": 3}}
+    asked = dict(k=3, seeds=[0, 7], settings=fast, ledger=str(tmp_path / "ledger"))
+    keys, fits = ["linear", "rf", "mlp"], []
+    real = tuning.fit_model
+
+    def stops(key, *args, **kwargs):
+        fits.append(key)
+        if len(fits) == 4:
+            raise RuntimeError("stopped")
+        return real(key, *args, **kwargs)
+
+    monkeypatch.setattr(tuning, "fit_model", stops)
+    with pytest.raises(RuntimeError, match="stopped"):
+        tuning.cross_validate(df, XS, keys, **asked, parallelism=1)
+    fits[:] = [None] * 10
+    whole = tuning.cross_validate(df, XS, keys, **asked).collect()
+    assert len(whole) == 18 and len(fits) - 10 == 3
+    del asked["ledger"]
+    row = lambda r: (r.seed, r.model, r.fold, round(r.mse, 9), round(r.mre, 9), round(r.r2, 9))
+    assert sorted(map(row, whole)) == sorted(map(row, tuning.cross_validate(df, XS, keys, **asked).collect()))
+
+
 def test_permutation_importance(data):
     df, _ = data
     flat = df.withColumn("c", F.lit(1.0))
@@ -178,17 +261,53 @@ def test_shapley_adds_up_for_trees(data):
         attribution.shapley_values(model, df, [[0.0] * 13], [f"x{i}" for i in range(13)])
 
 
-@pytest.mark.parametrize("batches", [1, 3])
-def test_network_does_not_depend_on_the_layout(data, batches):
-    rows = data[0]
-    fits = [
-        neural_regression.fit_neural(
-            rows.repartition(n), XS, "ms", (16,), learning_rate_init=1e-2, max_iter=40, batches=batches
-        )
-        for n in (1, 4, 16)
-    ]
+@pytest.mark.parametrize("chain_rows,early", [(50_000, False), (50_000, True), (60, False), (60, True)])
+def test_network_does_not_depend_on_the_layout(data, monkeypatch, chain_rows, early):
+    """One chain, and several that are averaged."""
+    monkeypatch.setattr(neural_regression, "CHAIN_ROWS", chain_rows)
+    setting = {"hidden_layer_sizes": (16,), "learning_rate_init": 1e-2, "max_iter": 12, "early_stopping": early}
+    fits = [neural_regression.fit_neural(data[0].repartition(n), XS, "ms", **setting) for n in (1, 4, 16)]
     for other in fits[1:]:
         assert np.abs(other.theta - fits[0].theta).max() < 1e-6
+    assert tuning._mse(fits[0], data[0], "ms") < 0.9 * data[1].ms.var()
+
+
+def test_network_steps_are_plain_adam_on_batches(data, monkeypatch):
+    """Two epochs in batches of 50, hash-ordered rows shuffled by seed and epoch, by a plain loop."""
+    monkeypatch.setattr(neural_regression, "BATCH", 50)
+    df, _ = data
+    model = neural_regression.fit_neural(df, XS, "ms", hidden_layer_sizes=(4,), alpha=0.1, max_iter=2, seed=3)
+    cells = [F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate([*XS, "ms"])]
+    names = [f"c{i}" for i in range(4)]
+    ordered = df.select(*cells).withColumn("copy", F.lit(1).cast("long")).withColumn("at", F.xxhash64(*names, "copy"))
+    rows = np.array([r[:4] for r in ordered.orderBy("at").select(*names).collect()])
+    x, y = (rows[:, :3] - rows[:, :3].mean(0)) / rows[:, :3].std(0), rows[:, 3]
+    shapes = neural_regression.layer_shapes(3, (4,))
+    theta = neural_regression.initial_weights(shapes, "relu", 3)
+    theta[-1] = y.mean()
+    m, v, t = 0.0, 0.0, 0
+    for epoch in range(2):
+        order = np.random.default_rng([3, 0, epoch]).permutation(len(y))
+        for at in range(0, len(y), 50):
+            mine = order[at : at + 50]
+            g = neural_regression.loss_gradient(theta, x[mine], y[mine], shapes, "relu", 0.1)[1]
+            t += 1
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            theta = theta - 1e-3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8 / np.sqrt(1 - 0.999**t))
+    assert model.theta == pytest.approx(theta, abs=1e-9)
+
+
+def test_networks_trained_together_are_those_trained_alone(data, monkeypatch):
+    monkeypatch.setattr(neural_regression, "ONE_CHAIN_WEIGHTS", 200)
+    rows = data[0].withColumn("_fold", F.pmod(F.xxhash64("formula"), F.lit(3)).cast("int")).persist()
+    points = [{"hidden_layer_sizes": h, "activation": a, "max_iter": 8} for h in ((16,), (8, 4)) for a in ("relu", "tanh")]
+    together = neural_regression.fit_networks(rows, XS, "ms", points, [0, 1, 2])
+    for fold in (0, 2):
+        for point in (0, 3):
+            alone = neural_regression.fit_neural(rows.where(F.col("_fold") != fold).drop("_fold"), XS, "ms", **points[point])
+            assert together[fold][point].hidden == alone.hidden
+            both = [tuning._mse(m, rows, "ms") for m in (together[fold][point], alone)]
+            assert both[0] == pytest.approx(both[1], rel=1e-3)
 
 
 def test_linear_shapley_is_the_exact_game(data):
