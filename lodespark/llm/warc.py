@@ -114,13 +114,15 @@ def field(name: str) -> Column:
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """(id, head, record) of every record; ``record`` holds the exact bytes with payload and closing blank lines."""
-    heads = spark.read.parquet(f"{path}/heads").withColumn(
-        "_wanted", F.when(field("WARC-Type") == "response", F.col("digest"))
-    )
-    stored = spark.read.parquet(f"{path}/payloads").withColumnRenamed("digest", "_wanted")
-    body = F.coalesce("payload", F.lit(b""))
-    return heads.join(stored, "_wanted", "left").select(
-        "id", "head", F.concat(F.encode("head", "UTF-8"), body, F.lit((CRLF * 2).encode())).alias("record")
+    heads = spark.read.parquet(f"{path}/heads").withColumn("_type", field("WARC-Type"))
+    stored = spark.read.parquet(f"{path}/payloads")
+    end = F.lit((CRLF * 2).encode())
+    # Revisits have no payload and take no part in the join.
+    responses = heads.filter("_type = 'response'").join(stored, "digest", "left")
+    whole = F.concat(F.encode("head", "UTF-8"), F.coalesce("payload", F.lit(b"")), end)
+    bare = heads.filter("_type IS DISTINCT FROM 'response'")
+    return responses.select("id", "head", whole.alias("record")).union(
+        bare.select("id", "head", F.concat(F.encode("head", "UTF-8"), end).alias("record"))
     )
 
 
@@ -151,7 +153,10 @@ def record_facts(records: DataFrame) -> DataFrame:
     responses = read.filter((F.col("record_type") == "response") & F.col("id").isNotNull())
     named = responses.groupBy(F.col("id").alias("refers_to"), "stated").agg(F.first("n").alias("n_named"))
     sound = F.coalesce(F.col("found"), F.col("stated")) == F.col("stated")
-    return read.join(named, ["refers_to", "stated"], "left").select(
+    # Only records that name another one are joined.
+    alone = read.filter("refers_to IS NULL").withColumn("n_named", F.lit(None).cast("long"))
+    both = read.filter("refers_to IS NOT NULL").join(named, ["refers_to", "stated"], "left").select(*alone.columns)
+    return both.union(alone).select(
         "id",
         "record_type",
         "refers_to",
