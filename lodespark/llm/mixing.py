@@ -1,15 +1,16 @@
 """Mix sources to target weights: hash-random order, distributed prefix sums, a cut at each source's exact budget.
 
 Every source gets a share of all words by weight, at most ``cap`` times its own words; what a capped source leaves is
-shared among the others by weight. A source's documents are put in the order of a hash of their id. Whole epochs are
+shared among the others by weight. A source's documents are put in the order of a hash of id and text. Whole epochs are
 taken as often as they fit; of the next one the documents in front are taken until the budget is reached.
 
 No task sees a whole source. Hash keys are spread evenly, so equal ranges of keys are equal buckets: prefix sums run
-inside (source, bucket), and over the bucket totals of each source. Only ids, sources and sizes are shuffled.
+inside (source, bucket), and over the bucket totals of each source. Only ids, sources and sizes are shuffled. Rows that
+agree in source, id and text are counted before, and their places follow from the count, however many they are.
 
 Defined cases: a null text has size 0; a source without words has target 0; a null source is a source of its own, the
-last one; null ids are equal ids; rows with equal ids follow each other by size, and are interchangeable where that is
-equal too; an empty table gives an empty table. Extra columns are ignored by :func:`mix` and kept by
+last one; null ids are equal ids; rows with equal ids and texts follow each other and are interchangeable, and
+:func:`mixed_rows` takes them together; an empty table gives an empty table. Extra columns are ignored by :func:`mix` and kept by
 :func:`mixed_rows`.
 """
 
@@ -26,6 +27,8 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 #: Rows of a hash bucket over all sources; a source's prefix sums are taken inside one.
 BUCKET_ROWS = 2_000
+#: Equal rows that are written out together.
+CHUNK = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -33,9 +36,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix_key(doc_id: Column) -> Column:
-    """Hash-random, and the same in every run and engine."""
-    return F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 16)
+def mix_key(doc_id: Column, text: Column) -> Column:
+    """Hash-random, and the same in every run and engine. The text is in it, as many rows may share an id or have none."""
+    digest = F.md5(F.coalesce(text, F.lit("")))
+    return F.substring(F.md5(F.concat_ws("/", F.coalesce(doc_id.cast("string"), F.lit("")), digest)), 1, 16)
 
 
 def source_key(source: Column) -> Column:
@@ -44,14 +48,26 @@ def source_key(source: Column) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, source_key, size, key) of every row, saved: what all passes but the last read."""
+    """(doc_id, source_key, size, key, n) of every different row, saved: what all passes but the last read."""
     rows = docs.select(
         "doc_id",
         source_key(F.col("source")).alias("source_key"),
         word_count(F.col("text")).alias("size"),
-        mix_key(F.col("doc_id")).alias("key"),
+        mix_key(F.col("doc_id"), F.col("text")).alias("key"),
     )
-    return saved(rows, "mix-keys")
+    return saved(rows.groupBy(*rows.columns).agg(F.count("*").alias("n")), "mix-keys")
+
+
+def written_out(rows: DataFrame, largest: int) -> DataFrame:
+    """Each row ``n`` times, numbered from 0 in ``copy``; ``largest`` is the largest n."""
+    if largest <= CHUNK:
+        return rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    chunks = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CHUNK))))
+    here = F.least(F.lit(CHUNK), F.col("n") - F.col("chunk") * CHUNK)
+    dealt = chunks.repartition("source_key", "key", "chunk")
+    return dealt.withColumn(
+        "copy", F.explode(F.transform(F.sequence(F.lit(0), here - 1), lambda i: F.col("chunk") * CHUNK + i))
+    ).drop("chunk")
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -92,16 +108,18 @@ def mix(
     the mix takes from the row. The row at the cut is taken in part, so each source's sum is its budget.
     """
     rows = keyed(docs)
-    buckets = max(1, -(-rows.count() // bucket_rows))
+    found = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()
+    buckets = max(1, -(-found["rows"] // bucket_rows))
     top = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     rows = rows.withColumn("bucket", F.floor(top * F.lit(buckets) / F.lit(float(1 << 32))).cast("long"))
     in_front = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    words = F.col("size") * F.col("n")
     totals = (
         rows.groupBy("source_key", "bucket")
-        .agg(F.sum("size").alias("bucket_size"))
+        .agg(F.sum(words).alias("bucket_size"))
         .withColumn("bucket_before", F.coalesce(F.sum("bucket_size").over(in_front), F.lit(0)))
         .drop("bucket_size")
-        .join(targets(rows, weights, cap), "source_key")
+        .join(targets(rows.withColumn("size", words), weights, cap), "source_key")
     )
     inside = (
         Window.partitionBy("source_key", "bucket")
@@ -111,14 +129,16 @@ def mix(
     some = F.col("source_size") > 0
     epochs = F.when(some, F.floor(F.col("budget") / F.col("source_size"))).otherwise(0)
     left = F.least(F.col("size"), F.col("rest") - F.col("before"))
+    placed = rows.withColumn("bucket_sum", F.coalesce(F.sum(words).over(inside), F.lit(0))).join(
+        totals, ["source_key", "bucket"]
+    )
     return (
-        rows.withColumn("bucket_sum", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(totals, ["source_key", "bucket"])
-        .withColumn("before", F.col("bucket_before") + F.col("bucket_sum"))
+        written_out(placed, found["n"])
+        .withColumn("before", F.col("bucket_before") + F.col("bucket_sum") + F.col("copy") * F.col("size"))
         .withColumn("epochs", epochs)
         .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size"))
         .withColumn("taken", F.col("epochs") * F.col("size") + F.greatest(F.lit(0), left))
-        .drop("bucket", "bucket_sum", "bucket_before", "budget")
+        .drop("bucket", "bucket_sum", "bucket_before", "budget", "n", "copy")
     )
 
 
@@ -135,7 +155,7 @@ def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
         F.max(F.when(inside, F.struct("key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id")))).alias("__last"),
     )
     place = F.struct(
-        mix_key(F.col("doc_id")).alias("key"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id")
+        mix_key(F.col("doc_id"), F.col("text")).alias("key"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id")
     )
     copies = F.col("__epochs") + F.coalesce((place <= F.col("__last")).cast("long"), F.lit(0))
     return (

@@ -223,7 +223,8 @@ SELECT f.doc_id, f.path, own_license, round(own_score, 6) AS own_score,
 FROM files f LEFT JOIN own o USING (doc_id) LEFT JOIN file l USING (doc_id) LEFT JOIN inherited i ON f.dir = i.dir""",
     "op4_source_mix": r"""
 WITH sized AS (
-    SELECT doc_id, source, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS k,
+    SELECT doc_id, source,
+           substr(md5(concat_ws('/', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')))), 1, 16) AS k,
            coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
     FROM documents
 ), sources AS (

@@ -9,9 +9,12 @@ The driver sees one size per shard and one cut per flow, at most old plus new sh
 hash keys are even, so ranges of them are even buckets, in which sizes and places are summed up. Texts are shuffled
 once, straight to (shard, bucket).
 
-Defined cases: a null text has no bytes; a null id sorts first; rows that agree in id and text are one block and stay
-together; a row whose middle lies before a cut is in front of it; an empty table gives empty shards; columns named as
-the result's shard and slot are replaced, other extra columns are kept.
+Rows that agree in old shard, id and text have one hash key. Where they are more than a small part of a shard, they are
+numbered among themselves and the number goes into the key, so they spread over ranges and shards like other rows.
+
+Defined cases: a null text has no bytes; a null id sorts first; few rows that agree in id and text are one block and stay
+together, many are interchangeable and dealt one by one; a row whose middle lies before a cut is in front of it; an empty
+table gives empty shards; columns named as the result's shard and slot are replaced, other extra columns are kept.
 """
 
 from __future__ import annotations
@@ -25,12 +28,15 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lodespark.llm.common import saved
-from lodespark.session import inline_table, scratch_path
+from lodespark.session import bounded_broadcast, inline_table, scratch_path
 
 SHARDS = 40
 #: Bytes that a row costs beside its text.
 ROW_BYTES = 16
 BUCKET_BYTES = 2 << 20
+#: Equal rows stay together up to this part of a shard and so many buckets, whichever is less.
+TIE_PART, TIE_BUCKETS = 64, 4
+SAME = ["__old", "__id", "__crc"]
 
 LOWEST = -(1 << 63)
 CUT_SCHEMA = T.StructType(
@@ -101,11 +107,13 @@ def moving_cost(old: int, new: int) -> np.ndarray:
 
 @dataclass
 class Plan:
-    """``flows``: bytes from old to new shards; ``cuts``: after which row each block of an old shard ends."""
+    """``flows``: bytes from old to new shards; ``cuts``: after which row each block of an old shard ends; ``ties``: old
+    shard, id and text of the rows that are numbered."""
 
     flows: dict[tuple[int, int], int]
     cuts: DataFrame
     offsets: DataFrame
+    ties: DataFrame
     buckets: int
     shards: int
 
@@ -129,6 +137,37 @@ def _keys(docs: DataFrame, old_shard: Column) -> DataFrame:
     )
 
 
+def _ties(rows: DataFrame, total: int, shards: int) -> DataFrame:
+    """(old shard, id, checksum) that many rows share; there are at most ``TIE_PART * shards`` or one per few buckets."""
+    most = min(total // (TIE_PART * shards), TIE_BUCKETS * BUCKET_BYTES)
+    shared = rows.groupBy(*SAME).agg(F.count("*").alias("n"), F.sum("__size").alias("bytes"))
+    return saved(shared.filter((F.col("n") > 1) & (F.col("bytes") > most)).select(*SAME), "reshard-ties")
+
+
+def _numbered(rows: DataFrame, ties: DataFrame) -> DataFrame:
+    """``rows`` of :func:`_keys`, those of a tie with their number among themselves in the key.
+
+    Tied rows are saved with the task that wrote them and their place in it, so numbers do not change when a task is run
+    again, and no task numbers more rows than one wrote.
+    """
+    if ties.isEmpty():
+        return rows
+    few = bounded_broadcast(ties)
+    place = F.monotonically_increasing_id()
+    tied = saved(rows.join(few, SAME, "left_semi").withColumn("__place", place), "reshard-tied")
+    tied = tied.withColumn("__task", F.shiftright("__place", 33))
+    in_front = Window.partitionBy(*SAME).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = tied.groupBy(*SAME, "__task").agg(F.count("*").alias("__rows"))
+    tasks = tasks.select(*SAME, "__task", F.coalesce(F.sum("__rows").over(in_front), F.lit(0)).alias("__ahead"))
+    inside = Window.partitionBy(*SAME, "__task").orderBy("__place")
+    numbered = tied.withColumn("__at", F.row_number().over(inside)).join(tasks, [*SAME, "__task"])
+    number = F.col("__ahead") + F.col("__at")
+    key = F.shiftrightunsigned(F.xxhash64(F.lit("reshard"), "__id", "__crc", number), 1)
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    alone = rows.join(few, SAME, "left_anti").select(*columns)
+    return alone.union(numbered.withColumn("__key", key).select(*columns))
+
+
 def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
     top = F.shiftright("__key", 31)
     return rows.withColumn("__bucket", F.shiftright(top * F.lit(buckets).cast("long"), 32))
@@ -154,8 +193,9 @@ def plan_reshard(
     total = sum(supply)
     flows = min_cost_flow(supply, capacities or even_capacities(total, shards), moving_cost(len(supply), shards))
     buckets = max(1, -(-total // BUCKET_BYTES))
+    ties = _ties(rows, total, shards)
 
-    rows = _bucketed(rows, buckets)
+    rows = _bucketed(_numbered(rows, ties), buckets)
     in_front = Window.partitionBy("__old").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = rows.groupBy("__old", "__bucket").agg(F.sum("__size").alias("__bytes"))
     before = before.select(
@@ -209,13 +249,13 @@ def plan_reshard(
     offsets = groups.select(
         "__shard", "__old", "__bucket", F.coalesce(F.sum("__rows").over(ahead), F.lit(0)).alias("__offset")
     )
-    return Plan(flows, cut_rows, saved(offsets, "reshard-offsets"), buckets, shards)
+    return Plan(flows, cut_rows, saved(offsets, "reshard-offsets"), ties, buckets, shards)
 
 
 def place(docs: DataFrame, old_shard: Column, plan: Plan) -> DataFrame:
     """``docs`` with shard and slot of each row."""
     kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
-    rows = _placed(_bucketed(_keys(docs, old_shard), plan.buckets), plan.cuts)
+    rows = _placed(_bucketed(_numbered(_keys(docs, old_shard), plan.ties), plan.buckets), plan.cuts)
     inside = Window.partitionBy("__shard", "__old", "__bucket").orderBy("__key", "__id", "__crc")
     slot = F.col("__offset") + F.row_number().over(inside) - 1
     return rows.join(plan.offsets, ["__shard", "__old", "__bucket"]).select(

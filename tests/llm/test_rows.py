@@ -78,6 +78,27 @@ def test_mixed_rows_follow_the_mix(spark):
         assert abs(words - target[source]) <= largest[source]
 
 
+def test_mix_of_many_equal_rows(spark, monkeypatch):
+    """Rows without id and with one text are counted, and written out in chunks."""
+    rows = [(None, "hot", "one two three")] * 900 + [(None, "hot", f"word {i}") for i in range(60)]
+    rows += [(7, "hot", "w " * (i % 5)) for i in range(200)] + [(i, "b", "a b c d") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    want = None
+    for chunk in (1 << 16, 16):
+        monkeypatch.setattr(mixing, "CHUNK", chunk)
+        got = mixing.mix(docs, bucket_rows=50).collect()
+        assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((i, len(t.split())) for i, _, t in rows)
+        for source in ("vhot", "vb"):
+            mine = [r for r in got if r["source_key"] == source]
+            assert sum(r["taken"] for r in mine) == int(mine[0]["target"] + 0.5)
+            assert all(0 <= r["taken"] <= 3 * r["size"] for r in mine)
+            ends = sorted((r["before"], r["before"] + r["size"]) for r in mine if r["size"])
+            assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
+        here = Counter((r["doc_id"], r["size"], r["before"], r["taken"]) for r in got)
+        want = want or here
+        assert here == want
+
+
 def least_cost(supply, capacity, cost):
     """Smallest cost by trying every way to place unit after unit."""
     units = [i for i, s in enumerate(supply) for _ in range(s)]
@@ -126,6 +147,28 @@ def test_reshard_is_even_and_moves_little(spark):
     assert sum(r["size"] for r in sized if r["old"] != r["shard"]) <= least + 8 * largest
 
 
+def test_equal_rows_spread_over_the_shards(spark):
+    """Equal rows are dealt one by one, beside others and from two old shards; the layout is the same every time."""
+    alone = spark.createDataFrame([(None, "the same text")] * 2000, "doc_id long, text string").repartition(4)
+    rows = resharding.reshard(alone, F.lit(3), shards=40).collect()
+    counts = Counter(r["shard"] for r in rows)
+    assert set(counts) == set(range(40)) and set(counts.values()) <= {49, 50, 51}
+    assert {(r["shard"], r["slot"]) for r in rows} == {(s, i) for s, n in counts.items() for i in range(n)}
+
+    mixed = [(None, "hot text", i % 2) for i in range(900)] + [(i, "text " * (i % 7), 2) for i in range(900)]
+    frame = spark.createDataFrame(mixed, "doc_id long, text string, old int")
+    layouts = []
+    for parts in (3, 7):
+        got = resharding.reshard(frame.repartition(parts), F.col("old"), shards=8).collect()
+        layouts.append(Counter((r["doc_id"], r["text"], r["old"], r["shard"], r["slot"]) for r in got))
+        size = Counter()
+        for r in got:
+            size[r["shard"]] += len(r["text"]) + 16
+        assert max(size.values()) - min(size.values()) <= 4 * (30 + 16)
+        assert Counter((r["doc_id"], r["text"], r["old"]) for r in got) == Counter(mixed)
+    assert layouts[0] == layouts[1]
+
+
 def test_untouched_shards_are_not_written(spark, tmp_path):
     docs = spark.createDataFrame([(i, "x" * 84, i % 2) for i in range(40)], "doc_id long, text string, old int")
     even = resharding.reshard(docs, F.col("old"), str(tmp_path / "even"), shards=2)
