@@ -1,16 +1,21 @@
 """Approximate nearest neighbours from shifted space-filling curves.
 
-Vectors are projected by ``CURVES`` random rotations to a few dimensions, shifted, and put in Hilbert order of each.
-Each order is partitioned into ranges of about ``WINDOW * sqrt(n)`` vectors; the range ends come from a bounded sample.
-A query is compared with its own range and the two beside it, on the vectors less the fitted centre in double precision;
+Vectors are projected by ``CURVES`` random rotations to a few dimensions, each dimension scaled by the quantiles of a
+sample, shifted, and put in Hilbert order. Each order is partitioned into ranges whose ends come from the sample. Scaled
+so, a dense cluster is spread over many cells and a far outlier is only the last one, so ranges are even in either case.
+A query is compared with its own range and those beside it, on the vectors less the fitted centre in double precision;
 the best of all windows merge, and are reranked with the exact distance of the original vectors.
 
+The window is a part of all vectors: at least ``WINDOW / sqrt(n)``, and as much as it takes for queries of the sample to
+find ``RECALL`` of their nearest in the sample. Among all vectors the nearest are nearer still, so they are found at least
+as often. Ranges hold at most about ``RANGE_ROWS`` vectors; a window that is wider takes more ranges on either side.
+
 Equal vectors are indexed once and expanded at the end, each to its smallest ids, so a vector that many rows share is
 no hot range, and ties go to smaller ids. The index is fitted on at most about ``SAMPLE`` vectors, but holds them all.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components or have another length than most take
-no part, and neither do rows without id; a row that repeats an id is the same candidate; fewer candidates than ``k``
-give fewer rows; an empty table gives no rows; extra columns are ignored.
+no part, and neither do rows without id; rows that repeat an id are one candidate, with the smallest of their vectors
+that take part; fewer candidates than ``k`` give fewer rows; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,9 +34,16 @@ from lodespark.llm.common import saved, unit_hash
 CURVES = 32
 #: Dimensions and bits of each that a curve runs through.
 PROJECTED = 8
-BITS = 4
-#: Vectors of a range, as a multiple of the square root of all vectors.
+BITS = 8
+#: Quantiles that scale a dimension, and the part of it that curves are shifted by.
+LEVELS, SHIFTED = 257, 0.125
+#: Least vectors of a window on either side, as a multiple of the square root of all vectors.
 WINDOW = 2.0
+#: Part of the nearest that the windows find in the sample, and the sample's queries that tell.
+RECALL, PROBES = 0.95, 500
+RANGE_ROWS = 20_000
+#: Distances that a task holds at once.
+BLOCK = 1 << 22
 #: Most vectors, as expected number, that range ends and scales are fitted on.
 SAMPLE = 40_000
 #: Of each range, and then of all, so many times k candidates go on.
@@ -73,40 +85,77 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 @dataclass
 class Curves:
-    """Rotations, centre, scales and shifts of the curves, and the ends of their ranges."""
+    """Rotations, centre, quantiles and shifts of the curves, the ends of their ranges, and how many of them a window
+    takes on either side."""
 
     rotations: list[np.ndarray]
     centre: np.ndarray
-    scales: list[np.ndarray]
+    levels: list[np.ndarray]
     shifts: list[np.ndarray]
     ends: list[np.ndarray]
+    beside: int = 1
 
     def key(self, vectors: np.ndarray, curve: int) -> np.ndarray:
-        flat = (vectors - self.centre) @ self.rotations[curve] / self.scales[curve]
-        # Three deviations to either side, moved by up to half a cell.
-        cells = (flat / 6 + 0.5) * (1 << BITS) + self.shifts[curve]
+        flat = (vectors - self.centre) @ self.rotations[curve]
+        even = np.linspace(0, 1, LEVELS)
+        place = np.column_stack([np.interp(x, at, even) for x, at in zip(flat.T, self.levels[curve].T)])
+        cells = (place * (1 - SHIFTED) + self.shifts[curve]) * (1 << BITS)
         return hilbert_keys(np.clip(cells, 0, (1 << BITS) - 1), BITS)
 
     def ranges(self, vectors: np.ndarray, curve: int) -> np.ndarray:
         return np.searchsorted(self.ends[curve], self.key(vectors, curve), "right")
 
 
-def fit(sample: np.ndarray, n: int, curves: int = CURVES, window: float = WINDOW) -> Curves:
-    """Curves for ``n`` vectors of which ``sample`` are some."""
+def window_part(sample: np.ndarray, keys: list[np.ndarray], least: float, k: int, recall: float) -> float:
+    """Part of all vectors that a range must hold, so that own and adjacent ranges find ``recall`` of the ``k`` nearest
+    in the sample; ``least`` or more."""
+    n = len(sample)
+    k = min(k, n - 1)
+    if k < 1 or 3 * least >= 1:
+        return min(1.0, least)
+    probes = np.random.default_rng(SEED).choice(n, min(n, PROBES), replace=False)
+    sizes = (sample * sample).sum(axis=1)
+    nearest = np.empty((len(probes), k), int)
+    for i, probe in enumerate(probes):
+        far = sizes - 2 * (sample @ sample[probe])
+        far[probe] = np.inf
+        nearest[i] = np.argpartition(far, k - 1)[:k]
+    places = [np.argsort(np.argsort(own, kind="stable"), kind="stable") for own in keys]
+    part = least
+    while 3 * part < 1:
+        found = np.zeros(nearest.shape, bool)
+        for place in places:
+            at = (place / (part * n)).astype(int)
+            found |= np.abs(at[nearest] - at[probes][:, None]) <= 1
+        if found.mean() >= recall:
+            break
+        part *= 1.15
+    return min(1.0, part)
+
+
+def fit(
+    sample: np.ndarray, n: int, curves: int = CURVES, window: float | None = None, k: int = 10, recall: float = RECALL
+) -> Curves:
+    """Curves for ``n`` vectors of which ``sample`` are some; ``window`` times the root of n fixes the window."""
     rng = np.random.default_rng(SEED)
     dim = sample.shape[1]
     flat = min(PROJECTED, dim)
-    centre = sample.mean(axis=0)
-    model = Curves([], centre, [], [], [])
-    ranges = max(1, round(n / (window * n**0.5)))
+    model = Curves([], sample.mean(axis=0), [], [], [])
+    keys = []
     for curve in range(curves):
         rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0][:, :flat]
-        spread = ((sample - centre) @ rotation).std(axis=0)
         model.rotations.append(rotation)
-        model.scales.append(np.where(spread > 0, spread, 1))
-        model.shifts.append(rng.uniform(-0.5, 0.5, flat))
-        keys = np.sort(model.key(sample, curve))
-        model.ends.append(np.unique(keys[(np.arange(1, ranges) * len(keys)) // ranges]))
+        model.levels.append(np.quantile((sample - model.centre) @ rotation, np.linspace(0, 1, LEVELS), axis=0))
+        model.shifts.append(rng.uniform(0, SHIFTED, flat))
+        keys.append(model.key(sample, curve))
+    least = (WINDOW if window is None else window) / n**0.5
+    part = least if window is not None else window_part(sample, keys, least, k, recall)
+    size = max(1.0, min(part * n, RANGE_ROWS))
+    model.beside = max(1, -int(-part * n // size))
+    ranges = max(1, round(n / size))
+    for own in keys:
+        cuts = np.sort(own)[(np.arange(1, ranges) * len(own)) // ranges]
+        model.ends.append(np.unique(cuts))
     return model
 
 
@@ -142,7 +191,7 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     curves: int = CURVES,
-    window: float = WINDOW,
+    window: float | None = None,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found of each row whose ``id`` meets ``is_query``, its own left out.
 
@@ -150,7 +199,8 @@ def nearest(
     """
     spark = vectors.sparkSession
     found_schema = "query_id long, rank int, vec_id long, score double"
-    rows = saved(usable(vectors, id_col, vector_col).mapInArrow(_packed, "id long, packed binary").distinct(), "vectors")
+    full = usable(vectors, id_col, vector_col).groupBy("id").agg(F.min("vector").alias("vector"))
+    rows = saved(full.mapInArrow(_packed, "id long, packed binary"), "vectors")
     copy = F.row_number().over(Window.partitionBy("packed").orderBy("id"))
     copies = saved(
         rows.withColumn("copy", copy).filter(F.col("copy") <= k + 1)
@@ -166,7 +216,8 @@ def nearest(
     taken = taken if taken.num_rows else distinct.limit(1).toArrow()
     dim = len(taken.column(1)[0].as_py()) // 8
     matrix = _matrix(taken.sort_by("id").column(1), dim)
-    shipped = spark.sparkContext.broadcast(fit(matrix, n, curves, window))
+    fitted = fit(matrix, n, curves, window, k)
+    shipped = spark.sparkContext.broadcast(fitted)
 
     def index(beside: int):
         def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,8 +259,9 @@ def nearest(
         b = b - middle
         b_size = (b * b).sum(axis=1)
         out = []
-        for start in range(0, asked.num_rows, 1024):
-            some = asked.slice(start, 1024)
+        block = max(1, BLOCK // base.num_rows)
+        for start in range(0, asked.num_rows, block):
+            some = asked.slice(start, block)
             q = restored(some) - middle
             far = b_size[None, :] - 2 * (q @ b.T) + (q * q).sum(axis=1)[:, None]
             best = np.argpartition(far, keep, axis=1)[:, :keep] if far.shape[1] > keep else np.tile(
@@ -227,16 +279,13 @@ def nearest(
         return pa.concat_tables(out)
 
     base = distinct.mapInArrow(index(0), INDEX_SCHEMA).groupBy("curve", "range")
-    asked = queries.mapInArrow(index(1), INDEX_SCHEMA).groupBy("curve", "range")
+    asked = queries.mapInArrow(index(fitted.beside), INDEX_SCHEMA).groupBy("curve", "range")
     merged = base.cogroup(asked).applyInArrow(compare, CANDIDATE_SCHEMA).groupBy("query_id", "id").agg(
         F.min("near").alias("near")
     )
     by_near = Window.partitionBy("query_id").orderBy("near", "id")
     best = merged.withColumn("place", F.row_number().over(by_near)).filter(F.col("place") <= KEPT * k)
 
-    full = vectors.select(
-        F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")
-    ).dropDuplicates(["id"])
     distance = F.sqrt(
         F.aggregate(
             F.zip_with("asked", "vector", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x

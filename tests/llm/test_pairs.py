@@ -242,6 +242,38 @@ def test_recall_of_near_copies_and_of_an_offset_component(spark, jitter, offset)
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_ranges_stay_even_and_windows_find_the_nearest():
+    """A third near copies, or a few vectors far out, change no range; the window comes from what the sample finds."""
+    rng = np.random.default_rng(6)
+    plain = rng.normal(size=(12_000, 24))
+    dense, far = plain.copy(), plain.copy()
+    dense[:4000] = plain[0] + 1e-4 * rng.normal(size=(4000, 24))
+    far[:20] *= 1e4
+    for rows in (plain, dense, far):
+        model = neighbours.fit(rows, len(rows), curves=8)
+        at = [model.ranges(rows, c) for c in range(8)]
+        mean = len(rows) / (len(model.ends[0]) + 1)
+        assert max(np.bincount(a).max() for a in at) <= 2 * mean
+        probes = rng.choice(len(rows), 60, replace=False)
+        hit = 0
+        for p in probes:
+            gap = ((rows - rows[p]) ** 2).sum(axis=1)
+            gap[p] = np.inf
+            best = np.argsort(gap)[:10]
+            hit += sum(any(abs(int(a[i]) - int(a[p])) <= model.beside for a in at) for i in best)
+        assert hit / 600 >= 0.9
+    fixed = neighbours.fit(plain, len(plain), curves=2, window=2.0)
+    assert len(fixed.ends[0]) + 1 == round(12_000 / (2 * 12_000**0.5))
+    few = neighbours.fit(plain, 10_000_000, curves=2, window=40.0)
+    assert few.beside == 7 and len(few.ends[0]) + 1 <= 500
+
+
+def test_an_id_with_two_vectors_has_the_smaller(spark):
+    rows = [(0, [1.0, 0.0], 0, 1, 2), (1, [2.0, 0.0], 0, 1, 2), (1, [5.0, 0.0], 0, 1, 2), (1, None, 0, 1, 2)]
+    got = neighbours.nearest(vectors(spark, rows), F.col("id") == 0).collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 1.0)]
+
+
 def test_hilbert_order_is_a_curve():
     """All cells once, neighbours differ by one step in one dimension."""
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
