@@ -112,3 +112,21 @@ def test_audit_counts_null_compositions_as_the_cleaning_does(spark):
     )
     assert [r.n_rows for r in cleaning_audit(rows).orderBy("step_no").collect()] == [2, 2, 1, 1]
     assert clean_export(rows).count() == 1
+
+
+@pytest.mark.parametrize("cut", [0.0, 2.0])
+def test_density_leaves_out_only_what_is_out_of_reach(spark, cut):
+    """Clusters far apart: whole grid, next to the full sum; points between them are met by no value but the first."""
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.normal(0, 0.01, 3000), rng.normal(1, 0.01, 20), [40.0, 40.0, 41.0]])
+    frame = spark.createDataFrame([("Fe2O3", float(v)) for v in values], "formula string, ms double")
+    got = distributions.density(frame, grid=60, cut=cut).where("grp = 'Fe'").orderBy("i").collect()
+    bw = values.std(ddof=1) * len(values) ** -0.2
+    x = np.linspace(values.min() - cut * bw, values.max() + cut * bw, 60)
+    peak = 1 / (bw * np.sqrt(2 * np.pi))
+    want = np.exp(-0.5 * ((x[:, None] - values) / bw) ** 2).mean(axis=1) * peak
+    assert [r["i"] for r in got] == list(range(60))
+    assert np.allclose([r["x"] for r in got], x, rtol=0, atol=1e-9)
+    assert np.abs(np.array([r["density"] for r in got]) - want).max() <= 1e-12 * peak
+    within = (np.abs(x[:, None] - values) <= distributions.REACH * bw).sum()
+    assert within < 0.5 * 60 * len(values)
