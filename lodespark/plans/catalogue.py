@@ -1174,7 +1174,10 @@ def g13_tree_agrees(spark, sf):
     models = {"random forest": _fitted(spark, sf, "rf"), "boosted trees": _fitted(spark, sf, "xgb")}
     nodes = {name: cut_trees(m, spark, name == "random forest") for name, m in models.items()}
     own, other = (
-        cases.comparison_table(m, *_dims(spark)).filter("source <> 'literature'").withColumn("at", F.round("x", 6))
+        # A point without a fraction has its place in the series too.
+        cases.comparison_table(m, *_dims(spark))
+        .filter("source <> 'literature'")
+        .withColumn("at", F.coalesce(F.round("x", 6), F.lit(-1.0)))
         for m in (models, nodes)
     )
     other = other.select("system", "at", "source", F.col("value").alias("by_nodes"))
