@@ -24,12 +24,14 @@ from lodespark.operators.neural_regression import fit_networks, neural_cv_errors
 from lodespark.operators.regressors import fit_boosted, fit_forest, fit_model, model_spec, predict
 from lodespark.operators.splits import fold_of_rank, kfold, ordered_rank, repeated_kfold
 from lodespark.operators.tree_tables import TreeArrays, node_table
-from lodespark.session import inline_table, sized
+from lodespark.session import checkpointed, inline_table, sized
 
 LINEAR_FAMILY = ("linear", "ridge", "lasso", "elasticnet")
 # Models whose fits on several training sets share their passes.
 STACKED = ("svr", "mlp")
 PARALLEL_FITS = 4
+# Models whose fits are hundreds of short jobs that leave a core idle most of the time and hold little at the driver.
+SHORT_JOBS = ("xgb",)
 SEARCH_FOLDS = 5
 # Keys that are ranked together when training sets are cut into inner folds.
 RANGE_ROWS = 50_000
@@ -51,6 +53,12 @@ def _parallel(spark: SparkSession, jobs: list[Callable[[], Any]], parallelism: i
         return list(pool.map(inheritable_thread_target(spark)(lambda job: job()), jobs))
 
 
+def _side_by_side(spark: SparkSession, short: list[Callable[[], Any]], long: list[Callable[[], Any]], parallelism: int) -> None:
+    """Run fits of short jobs, as many as there are cores, beside the others, ``parallelism`` at once."""
+    groups = [(short, max(parallelism, spark.sparkContext.defaultParallelism)), (long, parallelism)]
+    _parallel(spark, [partial(_parallel, spark, jobs, width) for jobs, width in groups if jobs], len(groups))
+
+
 def _linear_settings(key: str, params: dict) -> dict:
     """Arguments of the moment solver for a model of the linear family."""
     if key == "linear":
@@ -318,6 +326,7 @@ def cross_validate(
     ``settings`` replaces a model's untuned settings; with ``tune`` they are searched inside each training set.
     Linear models share one pass, tuned or not; kernels and networks take the folds of a seed in the same passes. Rows
     are appended to ``ledger``, a folder, as they are finished; a run that finds some there leaves their work out.
+    Boosted fits wait for their many short jobs, so all of them run beside the others, ``parallelism`` of which run at once.
     """
     specs = {m: model_spec(m) for m in keys}
     seeds = [0] if seeds is None else seeds
@@ -334,7 +343,9 @@ def cross_validate(
         folds = repeated_kfold(base, k, seeds, key)
     else:
         folds = kfold(base, k, key, None).withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
-    folds = folds.persist()
+    # Every job of a fit ships its lineage, so that of the rows ends here, in the order that the cache has them.
+    cached = folds.persist()
+    folds = checkpointed(cached).persist()
     searched = [m for m in keys if tune and specs[m].grid]
 
     def single(m: str, seed: int, fold: int) -> Callable[[], None]:
@@ -361,14 +372,14 @@ def cross_validate(
 
         return run
 
-    jobs = []
+    short, long = [], []
     for (m, seed), outs in open_.items():
         if m in LINEAR_FAMILY and (m in searched or m not in given):
             continue
         if m in STACKED and m not in searched:
-            jobs.append(stacked(m, seed, outs))
+            long.insert(0, stacked(m, seed, outs))
         else:
-            jobs += [single(m, seed, f) for f in outs]
+            (short if m in SHORT_JOBS and m not in searched else long).extend(single(m, seed, f) for f in outs)
     try:
         shared = [m for m in keys if m in LINEAR_FAMILY and m not in given and m not in searched and any(o[0] == m for o in open_)]
         tuned = [m for m in keys if m in LINEAR_FAMILY and m in searched and any(o[0] == m for o in open_)]
@@ -377,9 +388,10 @@ def cross_validate(
         for scored in (fold_metrics(p, ["seed", "model", "fold"]) for p in linear):
             rows = [(r.seed, r.model, r.fold, *[float(r[x]) for x in METRICS]) for r in scored.collect()]
             finished.add([r for r in rows if r[2] in open_.get((by_name[r[1]], r[0]), [])])
-        _parallel(spark, jobs, parallelism)
+        _side_by_side(spark, short, long, parallelism)
     finally:
         folds.unpersist()
+        cached.unpersist()
     # One row per seed, fold and model.
     wanted = inline_table(spark, T.StructType(FOLD_SCHEMA.fields[:3]), planned)
     return finished.table().join(F.broadcast(wanted), ["seed", "model", "fold"], "left_semi").select(*FOLD_SCHEMA.names)

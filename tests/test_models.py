@@ -1,3 +1,5 @@
+import threading
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -145,6 +147,20 @@ def test_cross_validation_shapes(data):
     assert sorted(r.fold for r in plain) == [1, 2, 3, 4]
 
 
+def test_boosted_fits_run_beside_all_others(data, monkeypatch):
+    """The boosted fits of all folds run at once, beside as many others as are asked for."""
+    together = threading.Barrier(6)
+
+    def fit(key, df, features, target, params, seed):
+        if key == "xgb":
+            together.wait(timeout=60)
+        return fit_model("linear", df, features, target)
+
+    monkeypatch.setattr(tuning, "fit_model", fit)
+    rows = tuning.cross_validate(data[0], XS, ["rf", "xgb"], 6, parallelism=2).collect()
+    assert sorted((r.model, r.fold) for r in rows) == [(m, f) for m in ("Random Forest", "XGBoost") for f in range(1, 7)]
+
+
 def test_forest_cuts_are_fits(data, spark):
     """A tree cut at a depth is the tree grown to it; a node of few rows ends the path; fewer trees are the first ones."""
     df, pdf = data
