@@ -52,6 +52,10 @@ SECTIONS: dict[str, dict[str, str]] = {
 # Texts that mean a missing value.
 NULL_LITERALS = ["none", "None"]
 CORRUPT = "_corrupt_record"
+# The start of a value wrapper, and wrappers of a text without escapes, a whole number that fits 64 bits or
+# a truth value, of which JSON readers return exactly the characters.
+WRAPPER = '{"value":'
+PLAIN_WRAPPER = r'\A\{"value":(?:"[^"\\\x00-\x1f]*"|0|-?[1-9][0-9]{0,17}|true|false)\}\z'
 
 
 SECTION_TYPE = "map<string,string>"
@@ -110,9 +114,19 @@ def document_status(docs: DataFrame) -> DataFrame:
 
 
 def unwrap(node: Column) -> Column:
-    """Replace a JSON object whose only key is ``value`` by that value; anything else stays as it is."""
+    """Replace a JSON object whose only key is ``value`` by that value; anything else stays as it is.
+
+    A parser costs more than the short texts it reads, so texts without a brace and plain wrappers are told by their
+    characters; only the rest is parsed.
+    """
+    inner = node.substr(F.lit(len(WRAPPER) + 1), F.length(node) - F.lit(len(WRAPPER) + 1))
     wrapped = F.json_object_keys(node) == F.array(F.lit("value"))
-    return F.when(wrapped, F.get_json_object(node, "$.value")).otherwise(node)
+    return (
+        F.when(~F.contains(node, F.lit("{")), node)
+        .when(node.rlike(PLAIN_WRAPPER), F.btrim(inner, F.lit('"')))
+        .when(wrapped, F.get_json_object(node, "$.value"))
+        .otherwise(node)
+    )
 
 
 def merge_sections(*sections: Column) -> Column:

@@ -75,6 +75,22 @@ def test_unwrap_and_merge(spark):
     assert merged == {"a": "1", "b": None, "c": "3"}
 
 
+def test_plain_wrappers_are_told_without_a_parser(spark):
+    plain = ["Fe7B1", '{"value":""}', '{"value":"Fe2 \u00e9"}', '{"value":17}', '{"value":-3}', '{"value":0}', '{"value":true}']
+    odd = [
+        None, "", "{", '{"value":', '{"value":}', '{"value":null}', '{"value":"null"}', '{"value":-0}', '{"value":01}', '{"value":1.50}',
+        '{"value":1e5}', '{"value":12345678901234567890123}', '{"value":[1.0,2]}', '{"value":[1,}', '{"value":{"value":1}}', '{"value":"a}',
+        '{"value":"a\\"b"}', '{"value":"a\\u0041"}', '{"value":"a\tb"}', '{"value":1}\n', '{"value":1} x', '{"value":1,"unit":"K"}',
+        '{"value":1,"value":2}', ' {"value":1}', '{ "value":1}', '{"unit":"K"}', '{"value":"a","b":"c"}', '{"value":NaN}', "{'value':1}",
+    ]
+    node = F.col("j")
+    parsed = F.when(F.json_object_keys(node) == F.array(F.lit("value")), F.get_json_object(node, "$.value")).otherwise(node)
+    df = spark.createDataFrame([(t,) for t in plain + odd], "j string")
+    rows = df.select("j", documents.unwrap(node).alias("v"), parsed.alias("p"), node.rlike(documents.PLAIN_WRAPPER).alias("q")).collect()
+    assert [r.v for r in rows] == [r.p for r in rows]
+    assert [r.j for r in rows if r.q] == plain[1:] + ['{"value":"null"}']
+
+
 @pytest.mark.skipif(not CORPUS, reason="LODESPARK_DOCUMENTS names no folder")
 def test_corpus_counts(spark, dims):
     docs = documents.read_documents(spark, CORPUS)
