@@ -56,6 +56,9 @@ CORRUPT = "_corrupt_record"
 # a truth value, of which JSON readers return exactly the characters.
 WRAPPER = '{"value":'
 PLAIN_WRAPPER = r'\A\{"value":(?:"[^"\\\x00-\x1f]*"|0|-?[1-9][0-9]{0,17}|true|false)\}\z'
+# An array of at most 16 numbers without exponent, sign of a whole zero or space.
+_NUMBER = r"(?:0|-?[1-9][0-9]{0,17}|-?(?:0|[1-9][0-9]{0,17})\.[0-9]{1,17})"
+PLAIN_NUMBERS = rf"\A\[{_NUMBER}(?:,{_NUMBER}){{0,15}}\]\z"
 
 
 SECTION_TYPE = "map<string,string>"
@@ -182,7 +185,11 @@ def retype(df: DataFrame) -> DataFrame:
         col, kind = F.col(f"`{name}`"), kinds.get(name, "string")
         if kind.startswith("array"):
             values = F.from_json(col, "array<string>")
-            return (F.transform(values, lambda v: v.try_cast("double")) if kind == "array<double>" else values).alias(name)
+            if kind == "array<double>":
+                # Plain numbers between commas need no parser to become doubles.
+                values = F.when(col.rlike(PLAIN_NUMBERS), F.split(F.btrim(col, F.lit("[]")), ",")).otherwise(values)
+                values = F.transform(values, lambda v: v.try_cast("double"))
+            return values.alias(name)
         return (col if kind == "string" else col.try_cast(kind)).alias(name)
 
     return df.select(*[typed(c) for c in df.columns])

@@ -91,6 +91,21 @@ def test_plain_wrappers_are_told_without_a_parser(spark):
     assert [r.j for r in rows if r.q] == plain[1:] + ['{"value":"null"}']
 
 
+def test_plain_arrays_are_told_without_a_parser(spark):
+    plain = ["[1]", "[18.0,0.02]", "[-1,0,2.50]", "[-0.0,1]", "[123456789012345678,0.00000000000000001]"]
+    odd = [
+        None, "", "3", "[]", "[1,]", "[,1]", "[1..2]", "[01]", "[-0]", "[1e5]", "[.5]", "[5.]", "[1, 2]", "[1] x", "[1]\n", '["a",1]',
+        "[null,1]", "[[1],2]", "[12345678901234567890123]", "[" + ",".join(["1.5"] * 3000) + "]", "[1", "1]", "[NaN]", "{}", "[true]",
+    ]
+    name, col = "lattice parameters", F.col("`lattice parameters`")
+    df = spark.createDataFrame([(t,) for t in plain + odd], "`lattice parameters` string")
+    parsed = F.transform(F.from_json(col, "array<string>"), lambda v: v.try_cast("double"))
+    want = [repr(r.v) for r in df.select(parsed.alias("v")).collect()]
+    assert [repr(r[name]) for r in documents.retype(df).collect()] == want
+    told = [r[0] for r in df.where(col.rlike(documents.PLAIN_NUMBERS)).collect()]
+    assert told == plain
+
+
 @pytest.mark.skipif(not CORPUS, reason="LODESPARK_DOCUMENTS names no folder")
 def test_corpus_counts(spark, dims):
     docs = documents.read_documents(spark, CORPUS)
